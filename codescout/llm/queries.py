@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codescout.llm.files import fault_rates, not_hand_written, parse_faults
 from codescout.llm.packing import CAPACITY, pack_documents
 from codescout.llm.splitting import split_oversized
 from codescout.llm.subjects import find_subjects
@@ -14,6 +15,15 @@ from codescout.llm.tokenizer import encode_corpus
 from codescout.sources.tables import read_table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faults = parse_faults(read_table(spark, sf_dir, "source_files"))
+    return faults.where("fault is not null").select(F.col("path").alias("file_path")).distinct()
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fault_rates(read_table(spark, sf_dir, "source_files"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(read_table(spark, sf_dir, "code_elements")).select("id").distinct()
 
@@ -23,6 +33,14 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(elements.where(F.char_length("code") > 2000).dropDuplicates(["id"]))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_reasons(spark, sf_dir).select("path")
+
+
+def p3_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_hand_written(read_table(spark, sf_dir, "source_files"), read_table(spark, sf_dir, "library_files"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(read_table(spark, sf_dir, "documents"))
 
@@ -46,7 +64,7 @@ def p8_subject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p6_ids, p7_packed, p7_containers, p8_found, p8_subject_counts)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pieces, p3_found, p3_reasons, p6_ids, p7_packed, p7_containers, p8_found, p8_subject_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
