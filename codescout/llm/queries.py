@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codescout.llm.files import fault_rates, not_hand_written, parse_faults
 from codescout.llm.packing import CAPACITY, pack_documents
+from codescout.llm.secrets import find_secrets
 from codescout.llm.splitting import split_oversized
 from codescout.llm.subjects import find_subjects
 from codescout.llm.tokenizer import encode_corpus
@@ -41,6 +42,15 @@ def p3_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_hand_written(read_table(spark, sf_dir, "source_files"), read_table(spark, sf_dir, "library_files"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(read_table(spark, sf_dir, "code_elements"))
+    return found.select("id", F.explode("line_nos").alias("line_no")).distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(read_table(spark, sf_dir, "code_elements")).dropDuplicates(["id"]).select("id", F.size("line_nos").alias("n_lines"), "code")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(read_table(spark, sf_dir, "documents"))
 
@@ -64,7 +74,7 @@ def p8_subject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pieces, p3_found, p3_reasons, p6_ids, p7_packed, p7_containers, p8_found, p8_subject_counts)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pieces, p3_found, p3_reasons, p4_found, p4_redacted, p6_ids, p7_packed, p7_containers, p8_found, p8_subject_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
