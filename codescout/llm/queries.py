@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codescout.llm.docpairs import code_doc_pairs, documented_ids
 from codescout.llm.files import fault_rates, not_hand_written, parse_faults
 from codescout.llm.packing import CAPACITY, pack_documents
 from codescout.llm.secrets import find_secrets
@@ -51,6 +52,14 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read_table(spark, sf_dir, "code_elements")).dropDuplicates(["id"]).select("id", F.size("line_nos").alias("n_lines"), "code")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented_ids(read_table(spark, sf_dir, "code_elements"), read_table(spark, sf_dir, "source_files"))
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_doc_pairs(read_table(spark, sf_dir, "code_elements"), read_table(spark, sf_dir, "source_files"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(read_table(spark, sf_dir, "documents"))
 
@@ -74,7 +83,7 @@ def p8_subject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pieces, p3_found, p3_reasons, p4_found, p4_redacted, p6_ids, p7_packed, p7_containers, p8_found, p8_subject_counts)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pieces, p3_found, p3_reasons, p4_found, p4_redacted, p5_found, p5_pairs, p6_ids, p7_packed, p7_containers, p8_found, p8_subject_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
