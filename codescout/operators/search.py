@@ -1,0 +1,87 @@
+"""Filters and text searches over files and elements."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from codescout.functions.patterns import basename, glob_match
+
+#: Directories that a text search leaves out, besides those that begin with a dot.
+SKIPPED = ["node_modules", "vendor", "dist", "build", "target", "__pycache__", "venv", "env", "coverage", "out", "bin", "obj"]
+
+
+def searchable(path: Column) -> Column:
+    """Whether no component of the path is skipped or hidden."""
+    parts = F.split(path, "/")
+    return ~F.exists(parts, lambda p: p.isin(*SKIPPED) | p.startswith("."))
+
+
+def grep(files: DataFrame, pattern: str, glob: str | None = None, limit: int | None = 30, literal: bool = False) -> DataFrame:
+    """(repo_name, relative_path, matches): files with matches of a pattern without regard to case; the first `limit` by path."""
+    expression = f"(?i)\\Q{pattern}\\E" if literal else f"(?i){pattern}"
+    kept = files.where(searchable(F.col("relative_path")))
+    if glob:
+        kept = kept.where(glob_match(F.col("relative_path"), glob))
+    counted = kept.select("repo_name", "relative_path", F.regexp_count("content", F.lit(expression)).alias("matches")).where("matches > 0").distinct()
+    return counted.orderBy("relative_path", "repo_name").limit(limit) if limit else counted
+
+
+def grep_lines(files: DataFrame, pattern: str, per_file: int = 20) -> DataFrame:
+    """(relative_path, repo_name, line_no, line): up to `per_file` matching lines of each file, cut at 200 characters."""
+    lines = files.select("repo_name", "relative_path", F.filter(F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), F.substring(x, 1, 200).alias("line"))), lambda s: s["line"].rlike(f"(?i){pattern}")).alias("found"))
+    return lines.where(F.size("found") > 0).select("repo_name", "relative_path", F.explode(F.slice("found", 1, per_file)).alias("f")).select("repo_name", "relative_path", "f.line_no", "f.line").distinct()
+
+
+def list_directory(files: DataFrame, directory: str) -> DataFrame:
+    """(repo_name, name, kind, n_files): what lies directly in a directory of each repository; hidden names are left out."""
+    prefix = directory.strip("/") + "/" if directory.strip("/") else ""
+    below = files.select("repo_name", "relative_path").where(F.col("relative_path").startswith(prefix)).distinct()
+    rest = F.substring(F.col("relative_path"), len(prefix) + 1, 1 << 20)
+    split = below.select("repo_name", F.split(rest, "/").alias("p"))
+    named = split.select("repo_name", F.col("p")[0].alias("name"), F.when(F.size("p") > 1, "directory").otherwise("file").alias("kind")).where(~F.col("name").startswith("."))
+    return named.groupBy("repo_name", "name", "kind").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def list_files(files: DataFrame, part: str) -> DataFrame:
+    return files.where(F.lower("relative_path").contains(part.lower())).select("repo_name", "relative_path").distinct()
+
+
+def elements_of_file(elements: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Elements whose path equals a wanted path, or where one is a suffix of the other.
+
+    Instead of comparing all pairs, every suffix of a path that begins at a character is not formed either: the
+    two sides meet on their file name, and the suffix test runs only there; a wanted path that is shorter than a
+    file name is tested against names by that rule as well.
+    """
+    left = elements.withColumn("__name", basename(F.col("relative_path")))
+    right = wanted.select(F.col("path").alias("wanted_path"), basename(F.col("path")).alias("__name"))
+    both = left.join(right, "__name")
+    return both.where(F.col("relative_path").endswith(F.col("wanted_path")) | F.col("wanted_path").endswith(F.col("relative_path"))).drop("__name")
+
+
+def skim(elements: DataFrame, path: str) -> DataFrame:
+    """Classes and functions of a file without their code."""
+    return elements.where(F.col("type").isin("class", "function") & F.col("relative_path").endswith(path)).withColumn("code", F.lit(""))
+
+
+def keep_files(elements: DataFrame, keep: list[str]) -> DataFrame:
+    """Elements whose path, or repository and path, or path:name, is named, or whose path ends in what is named; all of them if none survives."""
+    if not keep:
+        return elements
+    names = [k.partition(":") for k in keep]
+    hit = F.lit(False)
+    for path, colon, name in names:
+        one = (F.col("relative_path") == path) | (F.concat_ws("/", "repo_name", "relative_path") == path) | F.col("relative_path").endswith("/" + path)
+        hit = hit | (one & (F.col("name") == name) if colon else one)
+    kept = elements.where(hit)
+    return elements if kept.isEmpty() else kept
+
+
+def keyword_lines(files: DataFrame, pattern: str) -> DataFrame:
+    """Outline rows (repo_name, relative_path, line_no, line) of the first 100 lines of each file that match."""
+    return grep_lines(files, pattern, 100).where("line_no <= 100")
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)

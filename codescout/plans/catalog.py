@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codescout.plans import code, documents, events, graphs, questions
+
+_ALL = documents.QUERIES | code.QUERIES | graphs.QUERIES | questions.QUERIES | events.QUERIES
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql.strip() for name, (_, sql) in _ALL.items() if sql}
