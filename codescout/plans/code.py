@@ -8,6 +8,7 @@ from codescout.functions import patterns as pt
 from codescout.functions import text as tx
 from codescout.operators import dedup as de
 from codescout.operators import hybrid as hy
+from codescout.operators import parse as pa
 from codescout.operators import resolve as rs
 from codescout.operators import rollups as ro
 from codescout.operators import search as se
@@ -192,6 +193,12 @@ def call_edges(s, d):
     return rs.call_edges(_elements(s, d, "id", "type", "name", "file_path"), read_table(s, d, "parse_results"))
 
 
+def built_elements(s, d):
+    """Elements made from the files by this library's own parser."""
+    f = _files(s, d).select("repo_name", "path", "relative_path", tx.language(F.col("path")).alias("language"), "content").dropDuplicates(["path"])
+    return pa.build_elements(pa.parse_files(f)).groupBy("language", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def last_definitions(s, d):
     return rs.last_definition(_elements(s, d, "id", "type", "name"), "function")
 
@@ -283,6 +290,7 @@ QUERIES = {
     "loose_import_edges": (loose_import_edges, f"WITH {_IMPORTS}, p AS (SELECT DISTINCT repo_name, path FROM source_files), n AS (SELECT repo_name, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '') AS stem, min(path) AS dst FROM p GROUP BY 1, 2), a AS (SELECT file_path, regexp_extract(regexp_replace(module, '\\.\\w+$', ''), '[^./\\\\:]*$') AS stem FROM i WHERE module IS NOT NULL UNION SELECT file_path, regexp_extract(module, '[^./\\\\:]*$') FROM i WHERE module IS NOT NULL) SELECT DISTINCT file_path AS src, dst FROM a JOIN p ON p.path = a.file_path JOIN n USING (repo_name, stem) WHERE stem <> '' AND file_path <> dst"),
     "inheritance_edges": (inheritance_edges, f"WITH {_E}, b AS (SELECT DISTINCT file_path, c.name AS name, unnest(c.bases) AS base FROM (SELECT file_path, unnest(classes) AS c FROM parse_results)), t AS (SELECT name, max(id) AS dst FROM e WHERE type = 'class' GROUP BY name) SELECT DISTINCT x.id AS src, t.dst FROM b JOIN (SELECT * FROM e WHERE type = 'class') x USING (file_path, name) JOIN t ON t.name = b.base WHERE x.id <> t.dst"),
     "call_edges": (call_edges, f"WITH {_E}, fn AS (SELECT file_path, name, id FROM e WHERE type = 'function'), c AS (SELECT DISTINCT file_path, f.name AS caller, unnest(f.calls) AS callee FROM (SELECT file_path, unnest(functions) AS f FROM parse_results)), s AS (SELECT c.file_path, fn.id AS src, callee FROM c JOIN fn ON fn.file_path = c.file_path AND fn.name = c.caller), near AS (SELECT file_path, name AS callee, max(id) AS near FROM fn GROUP BY 1, 2), far AS (SELECT name AS callee, max(id) AS far FROM fn GROUP BY 1) SELECT DISTINCT src, coalesce(near, far) AS dst FROM s LEFT JOIN near USING (file_path, callee) LEFT JOIN far USING (callee) WHERE coalesce(near, far) IS NOT NULL AND src <> coalesce(near, far)"),
+    "built_elements": (built_elements, None),
     "last_definitions": (last_definitions, f"WITH {_E} SELECT name, max(id) AS id FROM e WHERE type = 'function' GROUP BY name"),
     "fuzzy_repositories": (fuzzy_repositories, "WITH r AS (SELECT repo_name AS name, list_distinct(list_filter(regexp_split_to_array(lower(repo_name), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM repositories), s AS (SELECT name, len(list_intersect(w, ['amber', 'indexer', 'tool'])) / greatest(len(list_distinct(list_concat(w, ['amber', 'indexer', 'tool']))), 1) AS score FROM r), t AS (SELECT name, CASE WHEN lower(name) = 'amber indexer tool' THEN 1 WHEN contains(lower(name), 'amber indexer tool') OR contains('amber indexer tool', lower(name)) THEN 2 WHEN score >= 0.5 THEN 3 END AS tier, round(score, 6) AS score FROM s) SELECT * FROM t WHERE tier IS NOT NULL"),
     "functions_without_elements": (functions_without_elements, "SELECT DISTINCT file_path, f.name AS name FROM (SELECT file_path, unnest(functions) AS f FROM parse_results) p WHERE NOT EXISTS (SELECT 1 FROM code_elements e WHERE e.type = 'function' AND e.file_path = p.file_path AND e.name = p.f.name)"),
