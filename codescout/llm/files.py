@@ -91,7 +91,7 @@ def layout(language: str, text: str) -> str | None:
     size = sum(map(len, lines))
     if size < 200:
         return None
-    if language != "css" and size > 400 and len(_FLOW.findall(text)) <= 4 + size // 500:
+    if language != "css" and size > 400 and sum(map(text.count, ("return", "if ", "if(", "for ", "for("))) <= 4 + size // 500:
         body = _HEAD_COMMENT.sub("", text) if len(text) < 2000 else text
         rest = _VALUE.sub("", body)
         if len(rest) < 0.15 * len(body) and len(_FLOW.findall(rest)) <= 2:
@@ -148,9 +148,11 @@ class LibraryIndex:
         """The largest overlap with a library file: shared shingles as a share of the smaller of both sets."""
         if not len(self.hashes):
             return 0.0
-        mine = np.unique(self._shingles(text))
-        n = len(mine) - (1 if len(mine) and not mine[0] else 0)
-        words = max(n, 1)
+        all_mine = self._shingles(text)
+        known = all_mine[all_mine > 0]
+        if len(known) < LEAST_SHINGLES:
+            return 0.0
+        mine = np.unique(known)
         low, high = np.searchsorted(self.hashes, mine, "left"), np.searchsorted(self.hashes, mine, "right")
         hit = high > low
         if hit.sum() < LEAST_SHINGLES:
@@ -159,8 +161,7 @@ class LibraryIndex:
         for a, b in zip(low[hit].tolist(), high[hit].tolist(), strict=True):
             for k in self.owner[a:b]:
                 counts[k] += 1
-        unknown = len(_WORDS.findall(text)) - SHINGLE + 1
-        mine_size = max(words, unknown * 0.5)  # shingles with a word that no library has count as different
+        mine_size = max(len(mine), len(all_mine) * 0.5)  # shingles with a word that no library has count as different
         return float((counts / np.maximum(np.minimum(self.sizes, mine_size), LEAST_SHINGLES)).max())
 
 
