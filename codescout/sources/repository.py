@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +27,9 @@ def load_repository(spark: SparkSession, root: str, repo_name: str | None = None
     """
     root = root.rstrip("/")
     if ignore_rules is None:
-        try:
-            found = spark.read.format("binaryFile").option("pathGlobFilter", ".gitignore").load(f"{root}/.gitignore").select(F.decode("content", "UTF-8")).first()
-        except Exception:  # no such file
-            found = None
-        ignore_rules = [line.strip() for line in (found[0] if found else "").splitlines()]
+        # Spark leaves out hidden files; rules of a remote repository are given by the caller.
+        rules = Path(root.removeprefix("file:")) / ".gitignore"
+        ignore_rules = rules.read_text(errors="replace").splitlines() if rules.is_file() else []
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_bytes)
     plain = F.regexp_replace("path", "^file:/*", "/")
     start = len("/" + root.removeprefix("file:").lstrip("/")) + 2 if "://" not in root else len(root) + 2
