@@ -77,7 +77,7 @@ def skeleton(language: str, text: str) -> str:
         elif kind == "c":
             out.append("\n" if "\n" in m["c"] else " ")
         elif kind == "l":
-            out.append(m[0])
+            out.append("'")
         elif kind == "t":
             out.append('""')
             at = _template(text, at, stack, out)
@@ -163,12 +163,12 @@ STRAY = {
     "c": {":=", "=>", "::", "`", "@", "$", "===", "!==", "??", "?.", "..", "..="},
 }
 #: Token classes: w name, u name in capitals, n number, s literal, k word of the language, B word that begins a
-#: statement (P one that needs a parenthesis, V a declaration, T try, E else), F function, o mark that wants a value
+#: statement (P one that needs a parenthesis, V a declaration, T try, E else), F function, I import, o mark that wants a value
 #: (q the equals sign, a angles), e three dots, N line end, ! stray, x other; brackets, semicolon, colon and comma
 #: stand for themselves. BAD has the sequences of classes that a language excludes.
 _CUT = r"eN*\[N*[wukn]N*\]N*e|^N*e|[;}]N+e|!|[oq]N*(?:[BPVTE]|[)\];,}]|\Z)|a(?:N*[)\];,]|N*\Z)"
 _PAREN = r"|P(?!N*\()"
-_SCRIPT = r"|[wun][wuns]|s[wuns]|\]s|VN*[;)q}]|EN*[)}\]:]|T(?!N*\{)|F[wu][^(a]|k[wu]\(N*\)?:N|[BPTE]N*:" + _PAREN
+_SCRIPT = r"|:N*q|I[wu](?:N|;|\Z|[oa])|[wun][wuns]|s[wuns]|\]s|VN*[;)q}]|EN*[)}\]:]|T(?!N*\{)|F[wu][^(a]|k[wu]\(N*\)?:N|[BPTE]N*:" + _PAREN
 BAD = {
     "javascript": re.compile(_CUT + _SCRIPT + r"|VN*[wu]:|\)N*:N*[wuk][wukao,\[\]]{0,12}\{|Fx?[wu]?\([wuN,]*[wu]:"),
     "typescript": re.compile(_CUT + _SCRIPT),
@@ -188,7 +188,7 @@ def _classes(language: str) -> dict[str, str]:
     if language == "java":
         known["class"] = "k"
     if language in ("javascript", "typescript"):
-        known |= {"const": "V", "let": "V", "var": "V", "function": "F", "try": "T", "else": "E", "case": "k", "default": "k"}
+        known |= {"const": "V", "let": "V", "var": "V", "function": "F", "try": "T", "else": "E", "import": "I", "case": "k", "default": "k"}
     if language != "go" and language != "rust":
         known |= {"if": "P", "while": "P", "switch": "P"}
     return known

@@ -17,17 +17,24 @@ from codescout.llm.tokenizer import encode_corpus
 from codescout.sources.tables import read_table
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table, spread over all cores where its scan has fewer partitions (one small file has one)."""
+    table = read_table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    faults = parse_faults(read_table(spark, sf_dir, "source_files"))
+    faults = parse_faults(_table(spark, sf_dir, "source_files", "path", "repo_name", "content"))
     return faults.where("fault is not null").select(F.col("path").alias("file_path")).distinct()
 
 
 def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fault_rates(read_table(spark, sf_dir, "source_files"))
+    return fault_rates(_table(spark, sf_dir, "source_files", "path", "repo_name", "content"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_oversized(read_table(spark, sf_dir, "code_elements")).select("id").distinct()
+    return split_oversized(_table(spark, sf_dir, "code_elements", "id", "start_line", "code")).select("id").distinct()
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,42 +47,42 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return not_hand_written(read_table(spark, sf_dir, "source_files"), read_table(spark, sf_dir, "library_files"))
+    return not_hand_written(_table(spark, sf_dir, "source_files", "repo_name", "path", "relative_path", "content"), read_table(spark, sf_dir, "library_files"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(read_table(spark, sf_dir, "code_elements"))
+    found = find_secrets(_table(spark, sf_dir, "code_elements", "id", "type", "code"))
     return found.select("id", F.explode("line_nos").alias("line_no")).distinct()
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(read_table(spark, sf_dir, "code_elements")).dropDuplicates(["id"]).select("id", F.size("line_nos").alias("n_lines"), "code")
+    return find_secrets(_table(spark, sf_dir, "code_elements", "id", "type", "code")).dropDuplicates(["id"]).select("id", F.size("line_nos").alias("n_lines"), "code")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documented_ids(read_table(spark, sf_dir, "code_elements"), read_table(spark, sf_dir, "source_files"))
+    return documented_ids(read_table(spark, sf_dir, "code_elements"), _table(spark, sf_dir, "source_files", "path", "content"))
 
 
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_doc_pairs(read_table(spark, sf_dir, "code_elements"), read_table(spark, sf_dir, "source_files"))
+    return code_doc_pairs(read_table(spark, sf_dir, "code_elements"), _table(spark, sf_dir, "source_files", "path", "content"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_corpus(read_table(spark, sf_dir, "documents"))
+    return encode_corpus(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read_table(spark, sf_dir, "documents"))
+    return pack_documents(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_documents(read_table(spark, sf_dir, "documents"))
+    packed = pack_documents(_table(spark, sf_dir, "documents", "doc_id", "text"))
     used = packed.groupBy("container_id").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("n_items"))
     return used.withColumn("unused", F.lit(CAPACITY) - F.col("used"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_subjects(*(read_table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects")))
+    return find_subjects(_table(spark, sf_dir, "documents", "doc_id", "lang", "text"), *(read_table(spark, sf_dir, t) for t in ("subject_labels", "subjects")))
 
 
 def p8_subject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,8 +190,10 @@ def fit_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, vocabu
     block = np.argmax(common / np.maximum(common.sum(0, keepdims=True), 1e-9), axis=1)
     rate = _by_block(seed, block)
     usual = _by_block(common.sum(1, keepdims=True), block)
-    lift = rate / np.maximum(rate.mean(1, keepdims=True) + 0.5 * usual, 1e-12)
-    seed = np.where((lift > 2.0) & (seed >= 0.5), seed * (1 - 1.5 / np.maximum(lift, 1.5)), 0)
+    others = (rate.sum(1, keepdims=True) - rate) / max(k - 1, 1)
+    lift = rate / np.maximum(others + 0.5 * usual, 1e-12)
+    least = min(2.0, 1 + 0.2 * k)  # few subjects leave less room above the average
+    seed = np.where((lift > least) & (seed >= 0.5), seed * (1 - 0.75 * least / np.maximum(lift, least)), 0)
     scale = common.sum() / max(seed.sum(), 1e-9) * 0.3
     h = _anchored(np.hstack([seed * scale, common]), k, block)
     for _ in range(rounds):
