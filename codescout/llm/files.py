@@ -227,7 +227,7 @@ def merkle_tree(files: DataFrame, max_depth: int = 32) -> DataFrame:
     above = level.where(F.col("depth") == deepest)
     for d in range(deepest, -1, -1):
         here = above.groupBy("repo_name", "dir").agg(F.sum("sum").alias("sum"), F.sum("n_files").alias("n_files"))
-        here = here.select("repo_name", "dir", F.xxhash64(F.col("sum").cast("string")).alias("hash"), "n_files")
+        here = cut(here.select("repo_name", "dir", F.xxhash64(F.col("sum").cast("string")).alias("hash"), "n_files"))
         done.append(here)
         if d:
             up = here.select(
