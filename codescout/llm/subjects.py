@@ -27,7 +27,7 @@ from codescout.session import cut
 VOCABULARY = 40_000
 MIN_DF = 2
 ROUNDS = 4
-INNER = 12
+INNER = 8
 LANGUAGES = ("en", "de", "es", "zh")
 #: Least words that a subject must explain, and their least share of what all subjects explain.
 MIN_MASS, MIN_SHARE, LONE_MASS = 1.9, 0.09, 0.7
@@ -101,37 +101,40 @@ def _vectors(docs: DataFrame, index: dict[str, int]) -> DataFrame:
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     cols, counts = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
     lengths = np.diff(cols.offsets.to_numpy())
-    return np.repeat(np.arange(len(lengths)), lengths), cols.flatten().to_numpy(), counts.flatten().to_numpy().astype(np.float64), len(lengths)
+    return np.repeat(np.arange(len(lengths)), lengths), cols.flatten().to_numpy(), counts.flatten().to_numpy(), len(lengths)
 
 
 def _mixtures(batch: pa.RecordBatch, h: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """W of a batch for a fixed H (terms x components), the last shares of each entry, and its term."""
     rows, cols, counts, n = _flat(batch)
-    w = np.ones((n, h.shape[1]))
-    hv = h[cols]
+    w = np.ones((n, h.shape[1]), np.float32)
+    hv = h.astype(np.float32, copy=False)[cols]
     part = np.zeros_like(hv)
     if len(rows):
         starts = np.flatnonzero(np.diff(rows, prepend=-1))
+        filled = rows[starts]
+        lengths = np.diff(starts, append=len(rows))
         for _ in range(inner):
-            part = w[rows] * hv
-            part *= (counts / np.maximum(part.sum(1), 1e-300))[:, None]
-            w[rows[starts]] = np.add.reduceat(part, starts, axis=0) + 1e-9
+            part = np.repeat(w[filled], lengths, axis=0)
+            part *= hv
+            part *= (counts / np.maximum(np.einsum("ij->i", part), 1e-30))[:, None]
+            w[filled] = np.add.reduceat(part, starts, axis=0) + np.float32(1e-9)
     w[np.bincount(rows, minlength=n) == 0] = 0
     return w, part, cols
 
 
 def _next_h(vectors: DataFrame, h: np.ndarray, inner: int) -> np.ndarray:
-    sent = vectors.sparkSession.sparkContext.broadcast(h)
+    sent = vectors.sparkSession.sparkContext.broadcast(h.astype(np.float32))
     k = h.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros_like(sent.value)
+        total = np.zeros(sent.value.shape)
         for batch in batches:
             _, part, cols = _mixtures(batch, sent.value, inner)
             for j in range(k):
                 total[:, j] += np.bincount(cols, part[:, j], minlength=len(total))
         used = np.flatnonzero(total.sum(1) > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(total[used, j]) for j in range(k))], names=["col", *(f"c{j}" for j in range(k))])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(total[used, j], pa.float64()) for j in range(k))], names=["col", *(f"c{j}" for j in range(k))])
 
     schema = "col int, " + ", ".join(f"c{j} double" for j in range(k))
     summed = vectors.select("cols", "counts").mapInArrow(run, schema).groupBy("col").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(k)))
@@ -209,7 +212,7 @@ def subject_mixtures(docs: DataFrame, labels: DataFrame, subjects: DataFrame, vo
     descriptions of the subjects are the only anchors.
     """
     names, _, h, vectors = fit_subjects(docs, labels, subjects, vocabulary, rounds)
-    sent = docs.sparkSession.sparkContext.broadcast(h)
+    sent = docs.sparkSession.sparkContext.broadcast(h.astype(np.float32))
     k = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +221,7 @@ def subject_mixtures(docs: DataFrame, labels: DataFrame, subjects: DataFrame, vo
             w = w[:, :k]
             share = w / np.maximum(w.sum(1, keepdims=True), 1e-9)
             row, col = np.nonzero(w >= 0.2)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([names[j] for j in col], pa.string()), pa.array(w[row, col]), pa.array(share[row, col])], names=["doc_id", "subject", "mass", "share"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([names[j] for j in col], pa.string()), pa.array(w[row, col].astype(np.float64)), pa.array(share[row, col].astype(np.float64))], names=["doc_id", "subject", "mass", "share"])
 
     return vectors.select("doc_id", "cols", "counts").mapInArrow(run, "doc_id long, subject string, mass double, share double")
 
