@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_LINES, EPOCHS, RATE, PENALTY = 2600, 5, 0.35, 1e-4
+TRAIN_LINES, EPOCHS, RATE, PENALTY = 3600, 5, 0.35, 1e-4
 CACHE_LINES = 200_000
 REDACTED = "REDACTED"
 
@@ -101,6 +101,7 @@ _PLACEHOLDER = re.compile(r"(?i)[x*.#•_-]{3,}$|<.*>$|\$?\{\{?.*\}\}?$|%\(?\w+\
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 _HEX = re.compile(r"(?:[0-9a-f]{16,}|[0-9A-F]{16,})$")
 _WORDS_NUMBER = re.compile(r"[A-Za-z]{3,}(?:[-_.][A-Za-z]{2,})+[-_.]?\d{1,4}$")
+_CONSTANT = re.compile(r"_{0,2}[A-Z]+\d{0,3}(?:_[A-Z]+\d{0,4})+$")
 _NAME_LIKE = re.compile(r"[A-Za-z_]+(?:[._-][A-Za-z_]+)*$")
 _ADDRESS = re.compile(r"[a-z][\w+.-]*://|[./~]?/[\w./-]*$|[\w.-]+\.(?:example|com|org|net|io|dev|invalid|local)\b|data:|sha\d+-|[\w.+-]+@[\w-]+\.|\d+(?:\.\d+)*$|v\d")
 _PARTS = re.compile(r"[a-z0-9]+|[A-Z]+(?![a-z])|[A-Z][a-z0-9]*")
@@ -138,6 +139,8 @@ def shape(text: str) -> tuple[str, ...]:
     size = "short" if n < 8 else "middle" if n < 20 else "long"
     if _TAGGED.match(text):
         return ("tagged", size)
+    if _CONSTANT.match(text):
+        return ("name", size)
     if _WORDS_NUMBER.match(text):
         return ("words and number", size)
     if _NAME_LIKE.match(text) and not digit:
@@ -166,7 +169,7 @@ def features(tokens: list[tuple[int, int, str, str]]) -> list[list[str]]:
         if kind in ("name", "op", "url", "flag", "login"):
             out.append([f"kind {kind}"])
             if kind == "name" or kind == "flag":
-                named = name_class(text)
+                named = name_class(text) if len(text) > 3 or tokens[-1][1] < 400 else "plain"  # short names of minified code say nothing
                 if kind == "flag" or named != "plain" or i == 0 or tokens[i - 1][3] != "op" or tokens[i - 1][2] in "([,{":
                     if kind == "flag" or named != "plain" or key_class in ("none", "plain"):
                         key, key_class = text, named
@@ -187,6 +190,8 @@ def features(tokens: list[tuple[int, int, str, str]]) -> list[list[str]]:
         row.append(f"{alone} {kind}")
         row.append(f"{alone} key {key_class} shape {what}")
         before = tokens[i - 1][2].lower() if i else ""
+        if before == "[" and kind == "str":
+            row.append("subscript")
         if before in ("bearer", "basic", "token", "was", "is"):
             row += [f"after {before}", f"after {before} shape {what}"]
         if called:
@@ -200,7 +205,7 @@ def features(tokens: list[tuple[int, int, str, str]]) -> list[list[str]]:
         out.append(row)
         lead = ""
         if kind in ("str", "bare") and words == 1:
-            named = name_class(text) if len(text) < 40 and what in ("name", "other1", "other2") else "plain"
+            named = name_class(text) if len(text) < 40 and what in ("name", "other1", "other2", "placeholder") and _NAME_LIKE.match(text) else "plain"
             if named in ("secret", "public", "about"):
                 key, key_class = text, named
     return out
@@ -360,6 +365,8 @@ def training_lines(count: int = TRAIN_LINES, seed: int = 11) -> list[tuple[str,
                     lambda: assign(r.choice(plain_names), f"postgres://svc:{r.choice(['****', '${DB_PASS}', '<password>', '{pw}'])}@{word()}.example:5432/{word()}"),
                     lambda: r.choice(["// the token comes from the vault, see ops notes", "# secret = value of the mounted file", "// rotate api_key every 90 days", "// never log the password here", f"// checksum {hexes(64)}", f"# commit {hexes(40)}", f"// see {word()}-{word()}-{r.randint(10, 99)} for the key", f"/* {word()} {r.randint(1, 99)} */"]),
                     lambda: f"{word()}_{word()} = {word()}({word()}, {r.randint(1, 999)})",
+                    lambda: f"_{word()}['_{word().upper()}_F{r.randint(0, 99)}']._{word()}_start={r.randint(1, 9999)}",
+                    lambda: f'{word()}["{word()}{r.randint(1, 99)}"] = {word()}["{word()}_{word()}"] + {r.randint(1, 9)}',
                     lambda: f"{word()} = sorted({word()}, key=lambda item: (item[0], -{r.randint(1, 999)}))",
                     lambda: f'{word()}.put("{word()}", "{word()}{r.randint(1, 99)}");',
                     lambda: f"'{''.join(r.choice(_ALNUM + '+/') for _ in range(76))}'",
