@@ -169,7 +169,11 @@ def features(tokens: list[tuple[int, int, str, str]]) -> list[list[str]]:
         if kind in ("name", "op", "url", "flag", "login"):
             out.append([f"kind {kind}"])
             if kind == "name" or kind == "flag":
-                named = name_class(text) if len(text) > 3 or tokens[-1][1] < 400 else "plain"  # short names of minified code say nothing
+                # Short names of minified code say nothing.
+                named = name_class(text) if len(text.rpartition(".")[2]) > 3 or tokens[-1][1] < 400 else "plain"
+                follows, leads = tokens[i + 1][2] if i + 1 < len(tokens) else "", tokens[i - 1][2] if i else "{"
+                if follows in (":", "=", ":=") and leads in ("{", ",", "("):
+                    key, key_class = text, named  # the next key of a list of keys
                 if kind == "flag" or named != "plain" or i == 0 or tokens[i - 1][3] != "op" or tokens[i - 1][2] in "([,{":
                     if kind == "flag" or named != "plain" or key_class in ("none", "plain"):
                         key, key_class = text, named
