@@ -50,21 +50,31 @@ def call_edges(elements: DataFrame, parsed: DataFrame) -> DataFrame:
     return found.select("src", F.coalesce("near", "far").alias("dst")).where("dst is not null and src <> dst").distinct()
 
 
-def import_edges(files: DataFrame, parsed: DataFrame) -> DataFrame:
-    """(src, dst) paths: Python imports to files of the same repository by module; relative ones climb `level` packages.
+def module_files(files: DataFrame) -> DataFrame:
+    """(repo_name, target, dst): the first file (by path) of each dotted module of a repository."""
+    modules = files.select("repo_name", F.col("path").alias("dst"), module_path(F.col("relative_path")).alias("target")).where("target is not null")
+    return modules.groupBy("repo_name", "target").agg(F.min("dst").alias("dst"))
 
-    files: (repo_name, path, relative_path). The module's longest suffix that a file has wins by being tried as it stands.
-    """
-    paths = files.select("repo_name", "path", "relative_path").distinct()
-    modules = paths.select("repo_name", F.col("path").alias("dst"), module_path(F.col("relative_path")).alias("target")).where("target is not null")
-    modules = modules.groupBy("repo_name", "target").agg(F.min("dst").alias("dst"))
-    asked = imports_of(parsed).where("module is not null").join(paths.select("repo_name", F.col("path").alias("file_path"), "relative_path"), "file_path")
+
+def import_targets(files: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(repo_name, src, target, module, names, alias, is_from): imports with their absolute module; relative ones climb `level` packages."""
+    paths = files.select("repo_name", F.col("path").alias("src"), "relative_path").distinct()
+    each = parsed.select(F.col("file_path").alias("src"), F.explode("imports").alias("i")).select("src", "i.module", "i.names", "i.alias", "i.is_from", "i.level").distinct()
+    asked = each.where("module is not null").join(paths, "src")
     folder = F.split(F.regexp_replace("relative_path", "/?[^/]*$", ""), "/")
     up = F.coalesce("level", F.lit(0))
     package = F.filter(F.slice(folder, F.lit(1), F.greatest(F.size(folder) - up + 1, F.lit(0))), lambda p: p != "")
     bare = F.regexp_replace("module", r"^\.+", "")
     target = F.when(up > 0, F.array_join(F.concat(package, F.filter(F.array(bare), lambda m: m != "")), ".")).otherwise(F.col("module"))
-    found = asked.select("repo_name", F.col("file_path").alias("src"), target.alias("target")).join(modules, ["repo_name", "target"])
+    return asked.select("repo_name", "src", target.alias("target"), "module", "names", "alias", "is_from")
+
+
+def import_edges(files: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(src, dst) paths: Python imports to files of the same repository by their absolute module.
+
+    files: (repo_name, path, relative_path). Imports of modules without a file have no edge.
+    """
+    found = import_targets(files, parsed).join(module_files(files), ["repo_name", "target"])
     return found.where("src <> dst").select("src", "dst").distinct()
 
 
