@@ -94,6 +94,52 @@ def file_filter(question: Column) -> Column:
     return F.regexp_extract(question, r"(\.(?:py|js|ts|go|java|rs|c|cpp|md))\b", 1)
 
 
+#: How a question must name a language to ask for it; the first that fits decides.
+LANGUAGES = {
+    "python": ["python"],
+    "javascript": ["javascript", "js"],
+    "typescript": ["typescript", "ts"],
+    "java": ["java"],
+    "go": ["go", "golang"],
+    "cpp": [r"c\+\+"],
+    "rust": ["rust"],
+}
+ABOUT = "(?:code|implementation|script|function|class|module|method|package)"
+
+
+def language_pattern(names: list[str]) -> str:
+    """Matches `in X`, `using X` and `X code`, so names that only contain a language's name do not count."""
+    any_name = "(?:" + "|".join(names) + ")"
+    return rf"(?:\b(?:in|using)\s+{any_name}(?:[^\w+]|$))|(?:(?:^|[^\w+]){any_name}\s+{ABOUT}\b)"
+
+
+def language_filter(question: Column) -> Column:
+    """The language that the question asks for; null if none."""
+    low = F.lower(question)
+    return F.coalesce(*(F.when(low.rlike(language_pattern(names)), F.lit(name)) for name, names in LANGUAGES.items()))
+
+
+def path_filter(question: Column) -> Column:
+    """The first quoted text that may be a path; empty if none."""
+    return F.regexp_extract(question, r"[\"']([a-zA-Z0-9_/.-]+)[\"']", 1)
+
+
+#: Words of questions that ask how to make something.
+MAKING = ["implement", "how to", "write", "create", "build", "develop", "algorithm", "logic", "code for", "function that", "method that"]
+
+
+def wants_rewriting(question: Column) -> Column:
+    """Whether a question is about making something, long, or so short that it is vague."""
+    making = F.lower(question).rlike("|".join(MAKING))
+    return making | (word_count(question) >= 15) | (word_count(question) <= 5)
+
+
+def rounds(score: Column, factor: Column, base: int = 4) -> Column:
+    """How many rounds a question of this complexity gets in a repository of this factor: two to six."""
+    mean = (score / 100 + factor) / 2
+    return F.greatest(F.least((base * (0.7 + 0.6 * mean)).cast("int"), F.lit(6)), F.lit(2))
+
+
 def entity(question: Column) -> Column:
     """The code entity that the question names: quoted, called, with underscores or in camel case."""
     found = [F.nullif(F.regexp_extract(question, rx, 1), F.lit("")) for rx in ("`([^`]+)`", r"(\w+)\(\)", r"\b(\w+_\w+)\b", r"\b([A-Z][a-z0-9]+[A-Z]\w*)\b")]

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codescout.plans import code, documents, events, graphs, questions, symbols
+from codescout.plans import code, documents, events, graphs, overviews, questions, symbols
 
-_ALL = documents.QUERIES | code.QUERIES | graphs.QUERIES | questions.QUERIES | events.QUERIES | symbols.QUERIES
+_ALL = documents.QUERIES | code.QUERIES | graphs.QUERIES | questions.QUERIES | events.QUERIES | symbols.QUERIES | overviews.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

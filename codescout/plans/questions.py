@@ -46,6 +46,19 @@ def code_keywords(s, d):
     return _texts(s, d).select("doc_id", F.size(q.code_keywords(F.col("text"))).alias("n"))
 
 
+def question_filters(s, d):
+    """Language, extension and path that a question asks for."""
+    t = F.col("text")
+    out = _texts(s, d).select("doc_id", q.language_filter(t).alias("language"), q.file_filter(t).alias("extension"), q.path_filter(t).alias("path"))
+    return out.where("language is not null or extension <> '' or path <> ''")
+
+
+def question_rewriting(s, d):
+    t = F.col("text")
+    score = q.complexity(t)
+    return _texts(s, d).select("doc_id", q.wants_rewriting(t).alias("rewrite"), q.rounds(score, F.lit(1.0)).alias("rounds"))
+
+
 _STOP = ", ".join(f"'{w}'" for w in q.STOP_WORDS)
 _KEYS = f"list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{Nd}}_.]+'), lambda w: length(w) >= 2 AND w NOT IN ({_STOP})))"
 _WORDS = r"len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))"
@@ -58,7 +71,13 @@ _ENTITY = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{rx}', 1), '')"
 _SYN = " ".join(f"WHEN '{k}' THEN [{', '.join(f'{chr(39)}{x}{chr(39)}' for x in v)}]" for k, v in q.SYNONYMS.items())
 _FROM = "FROM documents WHERE text IS NOT NULL"
 
+_LANGUAGE = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{q.language_pattern(names)}') THEN '{name}'" for name, names in q.LANGUAGES.items()) + " END"
+_EXT = r"regexp_extract(text, '(\.(?:py|js|ts|go|java|rs|c|cpp|md))\b', 1)"
+_PATH = """regexp_extract(text, '["'']([a-zA-Z0-9_/.-]+)["'']', 1)"""
+
 QUERIES = {
+    "question_filters": (question_filters, f"WITH x AS (SELECT doc_id, {_LANGUAGE} AS language, {_EXT} AS extension, {_PATH} AS path {_FROM}) SELECT * FROM x WHERE language IS NOT NULL OR extension <> '' OR path <> ''"),
+    "question_rewriting": (question_rewriting, f"WITH x AS (SELECT doc_id, regexp_matches(lower(text), '{'|'.join(q.MAKING)}') AS m, {_WORDS} AS w, {_SCORE} AS c {_FROM}) SELECT doc_id, m OR w >= 15 OR w <= 5 AS rewrite, greatest(least(trunc(4 * (0.7 + 0.6 * ((c / 100.0 + 1.0) / 2)))::INT, 6), 2) AS rounds FROM x"),
     "question_keywords": (question_keywords, f"SELECT doc_id, md5(array_to_string(list_sort({_KEYS}), ' ')) AS keywords_md5, len({_KEYS})::INT AS n {_FROM}"),
     "question_complexity": (question_complexity, f"WITH c AS (SELECT doc_id, {_SCORE} AS c {_FROM}) SELECT doc_id, c::INT AS complexity, CASE WHEN c < 30 THEN 95 WHEN c < 60 THEN 92 ELSE 90 END AS threshold, (CASE WHEN c < 30 THEN 7200 WHEN c < 60 THEN 9600 ELSE 12000 END)::INT AS budget FROM c"),
     "question_class": (question_class, f"SELECT doc_id, {_CLASS} AS class {_FROM}"),
