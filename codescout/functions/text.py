@@ -110,3 +110,28 @@ def language(path: Column) -> Column:
     """The language that the extension stands for; null for others."""
     pairs = [F.lit(x) for pair in EXTENSIONS.items() for x in pair]
     return F.create_map(*pairs)[extension(path)]
+
+
+def dedent(doc: Column) -> Column:
+    """A docstring without blank lines at its edges and without the indentation that all lines but the first share."""
+    lines = F.split(F.regexp_replace(doc, "\r", ""), "\n")
+    rest = F.slice(lines, F.lit(2), F.size(lines))
+    indent = F.array_min(F.transform(F.filter(rest, lambda x: x.rlike(r"[^ \t]")), lambda x: F.length(F.regexp_extract(x, r"^[ \t]*", 0))))
+    kept = F.transform(rest, lambda x: F.substring(x, F.coalesce(indent, F.lit(0)) + 1, F.length(x)))
+    whole = F.array_join(F.concat(F.array(F.regexp_replace(lines[0], r"^[ \t]+", "")), kept), "\n")
+    return F.regexp_replace(F.regexp_replace(whole, r"[ \t]+(\n|$)", "$1"), r"^\n+|\n+$", "")
+
+
+def token_estimate(text: Column) -> Column:
+    """About how many tokens a text has: one for every four characters; 0 for null."""
+    return F.coalesce(F.ceil(F.length(text) / F.lit(4.0)), F.lit(0)).cast("int")
+
+
+def truncate_tokens(text: Column, tokens: int) -> Column:
+    """The beginning of a text that has about this many tokens."""
+    return F.substring(text, 1, tokens * 4)
+
+
+def repo_name_of_url(url: Column) -> Column:
+    """The last part of a repository's address, without .git; null for null."""
+    return F.regexp_replace(F.regexp_extract(F.regexp_replace(url, "/+$", ""), "[^/:]*$", 0), r"\.git$", "")

@@ -103,3 +103,11 @@ def expand_scores(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: floa
     new = scored.join(seeds.select(F.col("id").alias("node")), "node", "left_anti")
     best = new.groupBy("node").agg(F.min_by(F.struct("seed", "parent"), "rank").alias("x"))
     return best.select(F.col("node").alias("id"), (F.col("x.parent") * decay * weight).alias("score"), F.col("x.seed").alias("related_to"))
+
+
+def merge_graphs(*parts: DataFrame) -> DataFrame:
+    """(graph, src, dst): the union of edge tables, each edge once, without self-loops; null ends are dropped."""
+    merged = parts[0].select("graph", "src", "dst")
+    for part in parts[1:]:
+        merged = merged.unionByName(part.select("graph", "src", "dst"))
+    return clean_edges(merged.where("src is not null and dst is not null")).select("graph", "src", "dst")

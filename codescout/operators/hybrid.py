@@ -86,3 +86,14 @@ def select_repositories(semantic: DataFrame, keyword: DataFrame, k: int = 5) ->
     both = both.select("id", F.coalesce("semantic", F.lit(0.0)).alias("semantic"), F.coalesce("keyword", F.lit(0.0)).alias("keyword"))
     both = both.withColumn("total", F.col("semantic") * 0.7 + F.col("keyword") * 0.3)
     return both.where("total > 0.15 or semantic > 0.4 or keyword > 0.95").orderBy(F.desc("total"), "id").limit(k)
+
+
+def merge_selected(results: DataFrame, selected: DataFrame, base: float = 0.8, boost: float = 1.3) -> DataFrame:
+    """(id, score): results with the selected ids among them; a selected id scores at least base, times boost.
+
+    results: (id, score), selected: (id). Both may repeat ids; the best score of an id counts, a null score as none.
+    """
+    have = results.select("id", F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(0).alias("chosen"))
+    want = selected.select("id", F.lit(base).alias("score"), F.lit(1).alias("chosen"))
+    merged = have.unionByName(want).where("id is not null").groupBy("id").agg(F.max("score").alias("score"), F.max("chosen").alias("chosen"))
+    return merged.select("id", (F.col("score") * F.when(F.col("chosen") == 1, boost).otherwise(1.0)).alias("score"))

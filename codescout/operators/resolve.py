@@ -102,3 +102,22 @@ def fuzzy_names(names: DataFrame, wanted: str, threshold: float = 0.5) -> DataFr
     score = F.size(F.array_intersect(words, other)) / F.greatest(F.size(F.array_union(words, other)), F.lit(1))
     tier = F.when(low == want, 1).when(low.contains(want) | F.instr(F.lit(want), low).cast("boolean"), 2).when(score >= threshold, 3)
     return names.select("name", tier.alias("tier"), F.round(score, 6).alias("score")).where("tier is not null")
+
+
+def definitions(parsed: DataFrame) -> DataFrame:
+    """(definition_id, file_path, kind, parent, name, start_line, end_line): classes, functions and methods of the files.
+
+    definition_id is path::parent::name, without the parent for what stands alone. Repeated rows count once; rows without a name are left out.
+    """
+    part = lambda x, kind, parent: F.struct(F.lit(kind).alias("kind"), parent.alias("parent"), x["name"].alias("name"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"))
+    classes = F.transform(F.coalesce("classes", F.array()), lambda c: part(c, "class", F.lit("")))
+    functions = F.transform(F.coalesce("functions", F.array()), lambda f: part(f, "function", F.coalesce(f["class_name"], F.lit(""))))
+    each = parsed.select("file_path", F.explode(F.concat(classes, functions)).alias("d")).select("file_path", "d.*")
+    key = F.concat_ws("::", "file_path", F.nullif("parent", F.lit("")), "name").alias("definition_id")
+    return each.where("file_path is not null and name is not null").select(key, "file_path", "kind", "parent", "name", "start_line", "end_line").distinct()
+
+
+def import_names(parsed: DataFrame) -> DataFrame:
+    """(file_path, line, module, name, level, wildcard): a row for each imported name; an import of a whole module has one with a null name."""
+    each = parsed.select("file_path", F.explode("imports").alias("i")).select("file_path", "i.line", "i.module", F.explode_outer("i.names").alias("name"), F.coalesce("i.level", F.lit(0)).alias("level"))
+    return each.withColumn("wildcard", F.coalesce(F.col("name") == "*", F.lit(False))).distinct()

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from codescout.functions import patterns as pt
 from codescout.functions import text as tx
 from codescout.operators import dedup as de
+from codescout.operators import graph as gr
 from codescout.operators import hybrid as hy
+from codescout.operators import overview as ov
 from codescout.operators import parse as pa
 from codescout.operators import resolve as rs
 from codescout.operators import rollups as ro
@@ -226,6 +228,54 @@ def bm25_elements(s, d):
     return ti.top_k(ti.bm25(e, "merge sorted region map header", "id"), 30)
 
 
+def definitions(s, d):
+    return rs.definitions(read_table(s, d, "parse_results"))
+
+
+def import_names(s, d):
+    return rs.import_names(read_table(s, d, "parse_results"))
+
+
+def docstrings_dedented(s, d):
+    e = read_table(s, d, "code_elements").where("docstring <> ''")
+    return e.select("id", F.md5(tx.dedent(F.col("docstring"))).alias("doc_md5")).distinct()
+
+
+def token_estimates(s, d):
+    e = read_table(s, d, "code_elements").select("id", tx.token_estimate(F.col("code")).alias("tokens"), F.md5(tx.truncate_tokens(F.col("code"), 100)).alias("head_md5"))
+    return e.distinct()
+
+
+def file_hashes(s, d):
+    return _files(s, d).where("content is not null").select("path", F.md5("content").alias("md5")).distinct()
+
+
+def url_names(s, d):
+    return read_table(s, d, "repositories").select("repo_name", tx.repo_name_of_url(F.col("repo_url")).alias("url_name"))
+
+
+def contained_after_best(s, d):
+    """The best element of each file by its length, and none that lies within another."""
+    e = _elements(s, d, "id", "type", "repo_name", "relative_path", "start_line", "end_line")
+    scored = e.withColumn("score", (F.col("end_line") - F.col("start_line")).cast("double"))
+    return de.drop_contained(de.best_per_file(scored.where("type <> 'file'"))).select("id")
+
+
+def merged_code_graph(s, d):
+    """The edges of the store and those that the joins find, as one graph."""
+    call = call_edges(s, d).withColumn("graph", F.lit("call"))
+    inherit = inheritance_edges(s, d).withColumn("graph", F.lit("inheritance"))
+    return gr.merge_graphs(read_table(s, d, "graph_edges"), call, inherit)
+
+
+def selected_files_boosted(s, d):
+    """Elements scored by their length, with the key files of each repository chosen."""
+    e = _elements(s, d, "id", "type", "relative_path", "start_line", "end_line")
+    scored = e.where("type <> 'documentation'").select("id", F.least((F.col("end_line") - F.col("start_line") + 1) / 200.0, F.lit(1.0)).alias("score"))
+    chosen = e.where("type = 'file'").where(ov.is_key_file(F.col("relative_path"))).select("id")
+    return hy.merge_selected(scored, chosen).select("id", F.round("score", 6).alias("score"))
+
+
 _SKIP = ", ".join(f"'{x}'" for x in se.SKIPPED)
 _SEARCHABLE = f"len(list_filter(string_split(relative_path, '/'), lambda p: p IN ({_SKIP}) OR starts_with(p, '.'))) = 0"
 
@@ -296,4 +346,20 @@ QUERIES = {
     "functions_without_elements": (functions_without_elements, "SELECT DISTINCT file_path, f.name AS name FROM (SELECT file_path, unnest(functions) AS f FROM parse_results) p WHERE NOT EXISTS (SELECT 1 FROM code_elements e WHERE e.type = 'function' AND e.file_path = p.file_path AND e.name = p.f.name)"),
     "file_summaries": (file_summaries, f"SELECT DISTINCT file_path, concat_ws('; ', 'Lines: ' || coalesce(total_lines, 0), 'Classes: ' || nullif({_NAMES.format('classes')}, ''), 'Functions: ' || nullif({_NAMES.format('functions')}, '')) AS summary FROM parse_results"),
     "bm25_elements": (bm25_elements, None),
+    "definitions": (definitions, "WITH d AS (SELECT file_path, 'class' AS kind, '' AS parent, x.name AS name, x.start_line AS start_line, x.end_line AS end_line FROM (SELECT file_path, unnest(classes) AS x FROM parse_results) UNION SELECT file_path, 'function', coalesce(x.class_name, ''), x.name, x.start_line, x.end_line FROM (SELECT file_path, unnest(functions) AS x FROM parse_results)) SELECT concat_ws('::', file_path, nullif(parent, ''), name) AS definition_id, * FROM d WHERE file_path IS NOT NULL AND name IS NOT NULL"),
+    "import_names": (import_names, "WITH i AS (SELECT file_path, unnest(imports) AS x FROM parse_results) SELECT DISTINCT file_path, x.line AS line, x.module AS module, unnest(CASE WHEN len(x.names) > 0 THEN x.names ELSE [NULL] END) AS name, coalesce(x.level, 0) AS level, coalesce(unnest(CASE WHEN len(x.names) > 0 THEN x.names ELSE [NULL] END) = '*', FALSE) AS wildcard FROM i"),
+    "docstrings_dedented": (
+        docstrings_dedented,
+        "WITH d AS (SELECT DISTINCT id, string_split(replace(docstring, chr(13), ''), chr(10)) AS l FROM code_elements WHERE docstring <> ''), i AS (SELECT id, l, coalesce(list_min(list_transform(list_filter(l[2:], lambda x: regexp_matches(x, '[^ \\t]')), lambda x: length(regexp_extract(x, '^[ \\t]*')))), 0) AS n FROM d), "
+        "w AS (SELECT id, array_to_string(list_concat([regexp_replace(l[1], '^[ \\t]+', '')], list_transform(l[2:], lambda x: substring(x, n + 1))), chr(10)) AS t FROM i) SELECT id, md5(regexp_replace(regexp_replace(t, '[ \\t]+(\\n|$)', '\\1', 'g'), '^\\n+|\\n+$', '', 'g')) AS doc_md5 FROM w",
+    ),
+    "token_estimates": (token_estimates, "SELECT DISTINCT id, coalesce(ceil(length(code) / 4.0), 0)::INT AS tokens, md5(substring(code, 1, 400)) AS head_md5 FROM code_elements"),
+    "file_hashes": (file_hashes, "SELECT DISTINCT path, md5(content) AS md5 FROM source_files WHERE content IS NOT NULL"),
+    "url_names": (url_names, "SELECT repo_name, regexp_replace(regexp_extract(regexp_replace(repo_url, '/+$', ''), '[^/:]*$'), '\\.git$', '') AS url_name FROM repositories"),
+    "contained_after_best": (contained_after_best, f"WITH {_E}, c AS (SELECT * FROM e WHERE type <> 'file') SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.repo_name = c.repo_name AND o.relative_path = c.relative_path AND o.start_line <= c.start_line AND c.end_line <= o.end_line AND (o.start_line < c.start_line OR c.end_line < o.end_line) AND {_RANK.format('o')} >= {_RANK.format('c')})"),
+    "selected_files_boosted": (selected_files_boosted, f"WITH {_E}, r AS (SELECT id, least((end_line - start_line + 1) / 200.0, 1.0) AS score, 0 AS chosen FROM e WHERE type <> 'documentation' UNION ALL SELECT id, 0.8, 1 FROM e WHERE type = 'file' AND ({' OR '.join(f"contains(lower(regexp_extract(relative_path, '[^/]*$')), '{k}')" for k in ov.KEY_NAMES)})) SELECT id, round(max(score) * CASE WHEN max(chosen) = 1 THEN 1.3 ELSE 1 END, 6) AS score FROM r GROUP BY id"),
 }
+QUERIES["merged_code_graph"] = (
+    merged_code_graph,
+    f"SELECT DISTINCT graph, src, dst FROM (SELECT graph, src, dst FROM graph_edges UNION ALL SELECT 'call', src, dst FROM ({QUERIES['call_edges'][1]}) UNION ALL SELECT 'inheritance', src, dst FROM ({QUERIES['inheritance_edges'][1]})) WHERE src <> dst",
+)
