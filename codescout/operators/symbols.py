@@ -92,10 +92,12 @@ def scope_lines(parsed: DataFrame) -> DataFrame:
     return inner.select("file_path", "line_no", F.col("b.t").alias("scope_type"), F.col("b.n").alias("scope"), F.col("b.c").alias("class_name"))
 
 
-def _code_lines(files: DataFrame) -> DataFrame:
-    """(file_path, line_no, line) without the text of literals and lines of comments; equal files of a path count once."""
-    text = files.where("content is not null").groupBy(F.col("path").alias("file_path")).agg(F.max("content").alias("content"))
-    lines = text.select("file_path", F.posexplode(F.split("content", "\r?\n")).alias("at", "line"))
+def _code_lines(files: DataFrame, mark: str) -> DataFrame:
+    """(file_path, line_no, line) of the lines that hold `mark`, without the text of literals and lines of comments.
+
+    Contents are read where they lie and never shuffled; repeated files give the same rows again.
+    """
+    lines = files.where("path is not null and content is not null").select(F.col("path").alias("file_path"), F.posexplode(F.split("content", "\r?\n")).alias("at", "line")).where(F.col("line").contains(mark))
     return lines.select("file_path", (F.col("at") + 1).alias("line_no"), F.regexp_replace(F.regexp_replace("line", QUOTED, '""'), COMMENT, "").alias("line"))
 
 
@@ -104,7 +106,7 @@ def call_sites(files: DataFrame) -> DataFrame:
 
     Read line by line: calls within literals and comment lines are left out, words of the language and built-in names too.
     """
-    each = _code_lines(files).select("file_path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(CALL), F.lit(0))).alias("c")).where(~F.col("c").rlike(DEFINES))
+    each = _code_lines(files, "(").select("file_path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(CALL), F.lit(0))).alias("c")).where(~F.col("c").rlike(DEFINES))
     name = F.regexp_replace(F.regexp_replace("c", r"^new[ \t]+", ""), r"\($", "")
     callee, base = F.substring_index(name, ".", -1), F.regexp_replace(F.regexp_replace(name, r"[^.]*$", ""), r"\.$", "")
     out = each.select("file_path", "line_no", base.alias("base"), callee.alias("callee")).where((F.col("callee") != "") & ~F.col("callee").isin(*NOT_CALLS))
@@ -116,7 +118,8 @@ def instance_types(files: DataFrame, scopes: DataFrame) -> DataFrame:
 
     scope is empty outside functions. A variable made in several ways in one scope has the first class by name.
     """
-    found = _code_lines(files).where(F.col("line").rlike(MADE)).select("file_path", "line_no", F.regexp_extract("line", MADE, 1).alias("variable"), F.regexp_extract("line", MADE, 2).alias("made"))
+    made = F.regexp_extract("line", MADE, 2)
+    found = _code_lines(files, "=").select("file_path", "line_no", F.regexp_extract("line", MADE, 1).alias("variable"), made.alias("made")).where("made <> ''")
     placed = found.join(scopes.select("file_path", "line_no", "scope_type", "scope"), ["file_path", "line_no"], "left")
     scope = F.when(F.col("scope_type") == "function", F.col("scope")).otherwise("")
     return placed.groupBy("file_path", scope.alias("scope"), "variable").agg(F.min("made").alias("class_name"))

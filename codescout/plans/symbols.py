@@ -81,7 +81,7 @@ _SCOPES = (
     "sl AS (SELECT file_path, line_no, t AS scope_type, n AS scope, c AS class_name FROM (SELECT *, row_number() OVER (PARTITION BY file_path, line_no ORDER BY s DESC, e, t DESC, n DESC, c DESC NULLS LAST) AS k FROM (SELECT *, unnest(range(s, e + 1)) AS line_no FROM sp WHERE s <= e)) WHERE k = 1)"
 )
 _LINES = (
-    "tx AS (SELECT path AS file_path, string_split_regex(max(content), '\\r?\\n') AS l FROM source_files WHERE content IS NOT NULL GROUP BY path), "
+    "tx AS (SELECT DISTINCT path AS file_path, string_split_regex(content, '\\r?\\n') AS l FROM source_files WHERE path IS NOT NULL AND content IS NOT NULL), "
     "ln AS (SELECT file_path, line_no, regexp_replace(regexp_replace(line, '" + _q(sy.QUOTED) + "', '\"\"', 'g'), '" + sy.COMMENT + "', '') AS line FROM (SELECT file_path, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS line_no FROM tx))"
 )
 _CALLS = (
