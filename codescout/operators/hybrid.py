@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,29 +52,47 @@ def priority(relevance: Column, source: Column, kind: Column, lines: Column, gra
     return relevance * 0.4 + found + typed + size * 0.2 + F.when(granular, 0.15).otherwise(0.0)
 
 
-def budget_prune(candidates: DataFrame, budget: int, group_col: str = "query_id", least: int = 5, pool: int = 1000) -> DataFrame:
+def budget_prune(candidates: DataFrame, budget: int, group_col: str = "query_id", least: int = 5) -> DataFrame:
     """Greedy choice within a budget of lines for each group of (group, id, priority, lines).
 
     In order of priority an element is taken while it fits; the first is always taken; one that does not fit
-    is skipped while fewer than `least` are taken, else the choice ends. Of each group the `pool` best come
-    into the choice, so that a task's group is bounded; a budget of `pool` lines or fewer is never cut short.
+    is skipped while fewer than `least` are taken, else the choice ends. Ids are unique in a group; lines below
+    0 count as 0, and null lines fit nowhere.
+
+    Exact over groups of any size. What does not fit once never fits later, so of each group's elements with
+    the same lines the first `least` decide the first picks: `least` times budget + 1 rows are folded in one
+    array, whatever the size of the group. The picks after those are the elements that follow without a gap.
+    One of them that fails comes within budget + 1 elements of a line or more, so the rest of the group is not sorted.
     """
-    order = Window.partitionBy(group_col).orderBy(F.desc("priority"), "id")
-    best = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool)
-    keys = best.schema
-    group_type, id_type = keys[group_col].dataType.simpleString(), keys["id"].dataType.simpleString()
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        used, taken = 0, []
-        for row in group.sort_values("rank").itertuples():
-            if not taken or used + row.lines <= budget:
-                taken.append(row.Index)
-                used += row.lines
-            elif len(taken) >= least:
-                break
-        return group.loc[taken, [group_col, "id", "priority", "lines", "rank"]]
-
-    return best.select(group_col, "id", "priority", "lines", "rank").groupBy(group_col).applyInPandas(choose, f"{group_col} {group_type}, id {id_type}, priority double, lines long, rank int")
+    least = max(least, 1)
+    size = F.when(F.col("lines").isNull(), F.lit(budget + 1)).otherwise(F.greatest(F.col("lines"), F.lit(0))).cast("long")
+    p = F.col("priority").cast("double")
+    element = F.struct(p.isNull().alias("none"), F.coalesce(~F.isnan(p), F.lit(True)).alias("number"), (-p).alias("order"), "id", F.col("lines").cast("long").alias("lines"), p.alias("priority"), size.alias("size"))
+    c = candidates.select(F.col(group_col).alias("g"), element.alias("e"), size.alias("size"))
+    first = lambda df, keys, k: df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("e"))).where(F.col("n") <= k)
+
+    pool = first(c.where(F.col("size") <= budget), ["g", "size"], least).unionByName(first(c, ["g"], 1).where(F.col("size") > budget))
+    took = F.aggregate(
+        F.expr("slice(s, 2, size(s))"),
+        F.struct(F.slice("s", 1, 1).alias("picks"), F.col("s")[0]["size"].alias("used")),
+        lambda a, x: F.when((F.size(a["picks"]) < least) & (a["used"] + x["size"] <= budget), F.struct(F.concat(a["picks"], F.array(x)).alias("picks"), (a["used"] + x["size"]).alias("used"))).otherwise(a),
+    )
+    picked = pool.groupBy("g").agg(F.sort_array(F.collect_list("e")).alias("s")).select(F.col("g").alias("h"), took.alias("t")).select("h", "t.picks", "t.used")
+
+    both = c.join(picked, F.col("g").eqNullSafe(F.col("h"))).drop("h")
+    at = lambda i: F.get("picks", F.lit(i))
+    ranked = both.groupBy("g").agg(F.first("picks").alias("picks"), F.array(*(F.count_if(F.col("e") <= at(i)).cast("int") for i in range(least))).alias("ranks"))
+    head = ranked.select("g", F.posexplode("picks").alias("i", "e"), "ranks").select("g", "e", F.get("ranks", F.col("i")).alias("rank"))
+
+    tail = both.where((F.size("picks") == least) & (F.col("used") <= budget) & (F.col("e") > at(least - 1))).select("g", "e", "size", "used")
+    near = first(tail.where(F.col("size") > 0), ["g"], budget + 1)
+    so_far = F.sum("size").over(Window.partitionBy("g").orderBy("e").rowsBetween(Window.unboundedPreceding, 0))
+    ends = near.withColumn("used", F.col("used") + so_far).where(F.col("used") > budget).groupBy("g").agg(F.min("e").alias("end"))
+    more = tail.join(ends.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h")), "left").where(F.col("end").isNull() | (F.col("e") < F.col("end")))
+    after = more.select("g", "e", F.row_number().over(Window.partitionBy("g").orderBy("e")).alias("k"))
+    last = ranked.select(F.col("g").alias("h"), F.get("ranks", F.lit(least - 1)).alias("last"))
+    after = after.join(last, F.col("g").eqNullSafe(F.col("h"))).select("g", "e", (F.col("last") + F.col("k")).alias("rank"))
+    return head.unionByName(after).select(F.col("g").alias(group_col), "e.id", "e.priority", "e.lines", "rank")
 
 
 def select_repositories(semantic: DataFrame, keyword: DataFrame, k: int = 5) -> DataFrame:

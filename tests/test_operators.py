@@ -90,6 +90,30 @@ def test_budget_prune(spark):
     assert hybrid.budget_prune(c.limit(0), 110).count() == 0
 
 
+def greedy(candidates, budget, least=5):
+    out = set()
+    for g in {c[0] for c in candidates}:
+        used, taken = 0, 0
+        for rank, c in enumerate(sorted((c for c in candidates if c[0] == g), key=lambda c: (-c[2], c[1])), 1):
+            if not taken or used + c[3] <= budget:
+                taken, used = taken + 1, used + c[3]
+                out.add((*c, rank))
+            elif taken >= least:
+                break
+    return out
+
+
+def test_budget_prune_equals_greedy_on_large_groups(spark):
+    r = random.Random(11)
+    data = [(0, "a", 1.0, 380)] + [(0, f"big{i:05}", 0.9, r.randint(30, 500)) for i in range(3000)] + [(0, f"small{i}", 0.1, 3) for i in range(30)]
+    for g in range(1, 25):  # sizes that fit seldom, at once, after gaps, never, and of no line
+        least, most = r.choice([(0, 3), (1, 40), (60, 400), (401, 900), (0, 900)])
+        data += [(g, f"e{i:05}", round(r.random(), 2), r.randint(least, most)) for i in range(r.choice([3, 40, 1500]))]
+    c = spark.createDataFrame(data, "query_id long, id string, priority double, lines long")
+    for budget, least in ((400, 5), (400, 1), (60, 3)):
+        assert {tuple(x) for x in hybrid.budget_prune(c, budget, least=least).collect()} == greedy(data, budget, least)
+
+
 CHAIN = [("g", "a", "b"), ("g", "b", "c"), ("g", "c", "d"), ("g", "a", "b"), ("g", "a", "a"), ("g", None, "a")]
 
 
