@@ -28,9 +28,9 @@ def grep(files: DataFrame, pattern: str, glob: str | None = None, limit: int | N
 
 
 def grep_lines(files: DataFrame, pattern: str, per_file: int = 20) -> DataFrame:
-    """(relative_path, repo_name, line_no, line): up to `per_file` matching lines of each file, cut at 200 characters."""
-    lines = files.select("repo_name", "relative_path", F.filter(F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), F.substring(x, 1, 200).alias("line"))), lambda s: s["line"].rlike(f"(?i){pattern}")).alias("found"))
-    return lines.where(F.size("found") > 0).select("repo_name", "relative_path", F.explode(F.slice("found", 1, per_file)).alias("f")).select("repo_name", "relative_path", "f.line_no", "f.line").distinct()
+    """(relative_path, repo_name, line_no, line): up to `per_file` matching lines of each file; the whole line is searched, its first 200 characters are shown."""
+    lines = files.select("repo_name", "relative_path", F.filter(F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))), lambda s: s["line"].rlike(f"(?i){pattern}")).alias("found"))
+    return lines.where(F.size("found") > 0).select("repo_name", "relative_path", F.explode(F.slice("found", 1, per_file)).alias("f")).select("repo_name", "relative_path", "f.line_no", F.substring("f.line", 1, 200).alias("line")).distinct()
 
 
 def list_directory(files: DataFrame, directory: str) -> DataFrame:

@@ -167,6 +167,13 @@ def test_grep_and_lists(spark):
     assert rows(rollups.ancestors(f), "dir")[1] == ("r", "src", 1, 1)
 
 
+def test_grep_lines_searches_whole_lines(spark):
+    long = "x" * 500 + " needle"
+    f = spark.createDataFrame([("r", "a.js", f"needle\n{long}\nno")], "repo_name string, relative_path string, content string")
+    assert rows(search.grep_lines(f, "needle").select("line_no", "line"), "line_no") == [(1, "needle"), (2, "x" * 200)]
+    assert rows(search.keyword_lines(f, "needle$").select("line_no"), "line_no") == [(1,), (2,)]
+
+
 def test_resolution(spark):
     elements = spark.createDataFrame([("c1", "class", "Base", "a.py"), ("c2", "class", "Child", "a.py"), ("f1", "function", "run", "a.py"), ("f2", "function", "help", "b.py")], "id string, type string, name string, file_path string")
     parsed = spark.createDataFrame(
