@@ -61,9 +61,9 @@ def line_slice(text: Column, start: Column, end: Column) -> Column:
     return F.when(low > high, F.lit("")).otherwise(F.array_join(F.slice(lines, low, F.greatest(high - low + 1, F.lit(0))), "\n"))
 
 
-def search_text(name: Column, kind: Column, language: Column, path: Column, docstring: Column, signature: Column, summary: Column, code: Column) -> Column:
-    """What the keyword index reads of an element; empty parts are skipped."""
-    parts = [name, kind, language, path, docstring, signature, summary, F.substring(code, 1, 1000)]
+def search_text(name: Column, kind: Column, language: Column, path: Column, docstring: Column, signature: Column, summary: Column, code: Column, code_chars: int | None = None) -> Column:
+    """What the keyword index reads of an element; empty parts are skipped. code_chars: only so many characters of the code."""
+    parts = [name, kind, language, path, docstring, signature, summary, F.substring(code, 1, code_chars) if code_chars else code]
     return F.concat_ws(" ", *(F.nullif(p, F.lit("")) for p in parts))
 
 

@@ -107,8 +107,8 @@ def _lines(files: DataFrame, most: int | None = None) -> DataFrame:
     return rows.select("path", F.posexplode("l").alias("at", "line")).select("path", (F.col("at") + 1).alias("line_no"), "line")
 
 
-def outline(files: DataFrame, most: int = 100) -> DataFrame:
-    """(path, line_no, kind, name, is_async): classes, functions and imports in the first `most` lines, by the look of the line."""
+def outline(files: DataFrame, most: int | None = None) -> DataFrame:
+    """(path, line_no, kind, name, is_async): classes, functions and imports in all lines, or the first `most`, by the look of the line."""
     lines = _lines(files, most).where(F.col("line").rlike(OUTLINE) | F.col("line").rlike(IMPORT))
     part = lambda i: F.regexp_extract("line", OUTLINE, i)
     kind = F.when(part(1) != "", "class").when(part(4) != "", "function").otherwise("import")

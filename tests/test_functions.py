@@ -16,6 +16,13 @@ def test_tokens(spark):
     assert one(spark, tx.tokens(F.col("t"), "compat"), t=" Foo_bar  baz ") == ["foo_bar", "baz"]
 
 
+def test_search_text_has_the_whole_code(spark):
+    parts = [F.lit(x) for x in ("f", "function", "python", "a.py", "", "", "")]
+    code = "x " * 600 + "needle"
+    assert one(spark, tx.search_text(*parts, F.col("c")), c=code) == "f function python a.py " + code
+    assert one(spark, tx.search_text(*parts, F.col("c"), 10), c=code) == "f function python a.py " + code[:10]
+
+
 def test_lines(spark):
     for text, n in (("", 0), ("a", 1), ("a\n", 1), ("a\nb", 2), ("\n", 1), ("a\n\n", 2)):
         assert one(spark, tx.count_lines(F.col("t")), t=text) == n

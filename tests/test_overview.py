@@ -45,6 +45,11 @@ def test_outline_and_includes(files):
     assert rows(ov.includes(files), "module", "kind") == [("b.h", "include"), ("crate::b as c", "use"), ("std::io", "use"), ("stdio.h", "include")]
 
 
+def test_outline_has_all_lines(spark):
+    f = spark.createDataFrame([("a.py", "\n" * 150 + "class Late:")], "path string, content string")
+    assert rows(ov.outline(f), "line_no", "name") == [(151, "Late")]
+
+
 def test_grep_any(files):
     assert rows(ov.grep_any(files, ["main", "OS"]), "relative_path", "match_type", "matches") == [("src/main.py", "both", 1)]
     assert rows(ov.grep_any(files, ["<stdio."]), "relative_path", "match_type") == [("lib/b.c", "content")]
