@@ -25,9 +25,10 @@ REDACTED = "REDACTED"
 
 # --- lexical tokens --------------------------------------------------------------------------------------------------
 
-#: A line without any of these, and without a long run of mixed characters, holds no secret.
+#: A line without any of these, without a long run of mixed characters and without a value for a secret's name holds no secret.
 _SIGNS = ["pass", "pwd", "secret", "token", "cred", "bearer ", "basic ", "authorization", "auth", "-u ", "dsn", "://", "private key", "_key", "-key", "apikey", "signingkey", "accesskey", "secretkey", "licensekey", "encryptionkey", "masterkey", "key\"", "key'", "key was", "pw\"", "pw'", "pw =", "pw:", "pw=", "pw ", "salt", "session(", "connect(", "login", "kennwort", "contrase", "clave", "密码", "口令"]
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_=.-]{12})[A-Za-z0-9+/_=.-]*[0-9]")
+_NAMED = re.compile(r"(?<!\w)([A-Za-z_][\w-]*+)[\"'`\]]{0,2}[ \t]*(?:=>|[=:])")
 _SPAN_NAME = re.compile(r"token[_ ]?span|tokeniz")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>[\s\S]*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?=[\"'`])|\Z)")
 _SEGMENT = re.compile(r"(?P<url>[A-Za-z][\w+.-]*://[^\s:/@\"'`<>]*:)(?P<pass>[^\s@\"'`]+)@|(?P<q>\"\"\"|'''|[\"'`])|(?P<com>//|/\*|#|--\s|^\s*\*\s)|(?P<word>--?[A-Za-z][\w-]*=|[A-Za-z_][\w.-]*|\d[\w.-]*)|(?P<op>:=|=>|[=:(,\[{+])|(?P<rest>\S)")
@@ -405,6 +406,7 @@ class Finder:
         import ahocorasick
 
         self.field, self.cache = field, {}
+        self.is_secret_name = functools.lru_cache(CACHE_LINES)(lambda name: name_class(name) == "secret")
         self.signs = ahocorasick.Automaton()
         for sign in _SIGNS:
             self.signs.add_word(sign, sign)
@@ -417,6 +419,7 @@ class Finder:
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in code)
         hits = [end - len(sign) + 1 for end, sign in self.signs.iter(low) if sign != "token" or not _SPAN_NAME.match(low, end - 4)]
         hits += [m.start() for m in _RUN.finditer(code)]
+        hits += [m.start() for m in _NAMED.finditer(code) if self.is_secret_name(m[1])]
         return sorted(hits)
 
     def in_line(self, line: str) -> tuple[tuple[int, int], ...]:

@@ -217,6 +217,14 @@ def test_find_secrets(spark):
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
+def test_signs_follow_the_names_of_secrets():
+    finder = secrets.Finder(secrets.trained_field())
+    for line in ('hmacKey = "correct-horse-battery"', '"key": "correct-horse-battery"', "pin: correct-horse-battery", "--pin=correct-horse"):
+        assert finder.candidates(line), line
+    assert finder.in_code('hmacKey = "correct-horse-battery"') == [[(11, 32)]]
+    assert not finder.candidates("rows = items(key_size)")
+
+
 # --- problem 5 -------------------------------------------------------------------------------------------------------
 
 
