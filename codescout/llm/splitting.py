@@ -22,8 +22,8 @@ LIMIT = 2000
 OVERLAP = 200
 #: Units in a block of the sliding comparison, longest unit, least share of the window that a piece fills.
 BLOCK, UNIT, LEAST = 6, 160, 0.4
-#: Word classes of the hashed bag of words, and units whose cohesion is computed at once (bounds memory for very long texts).
-WORD_CLASSES, STRETCH = 256, 4096
+#: Units whose cohesion is computed at once (bounds memory for very long texts), and the decimals in which depths are compared.
+STRETCH, DECIMALS = 512, 2
 _WORDS = re.compile(r"[^\W\d_]{2,}")
 _SOFT = re.compile(r"[\s,;{}()\[\]]")
 
@@ -49,13 +49,13 @@ def valley_depths(code: str, starts: list[int]) -> np.ndarray:
     for low in range(0, n, STRETCH):
         first, last = max(0, low - 2 * BLOCK), min(n, low + STRETCH + 2 * BLOCK)
         m = last - first
-        bag = np.zeros((m + 1, WORD_CLASSES), dtype=np.float32)
         classes: dict[str, int] = {}
         rows, cols = [], []
         for i in range(m):
             for word in _WORDS.findall(code, starts[first + i], starts[first + i + 1]):
                 rows.append(i + 1)
-                cols.append(classes.setdefault(word, len(classes)) % WORD_CLASSES)
+                cols.append(classes.setdefault(word, len(classes)))
+        bag = np.zeros((m + 1, max(len(classes), 1)), dtype=np.float32)
         np.add.at(bag, (rows, cols), 1)
         total = np.cumsum(bag, axis=0)
         gap = np.arange(m + 1)
@@ -79,17 +79,14 @@ def split_code(code: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     starts = unit_starts(code)
     depth = valley_depths(code, starts)
     edges = np.asarray(starts)
-    # A blank line before a boundary, or a line that starts further left than its neighbours, makes a better cut.
-    bonus = np.zeros(len(starts))
+    # Layout only breaks ties: a blank line before, or a line that starts at the margin. Starts of lines come before places within lines.
+    layout = np.zeros(len(starts))
     for i in range(1, len(starts) - 1):
         at = starts[i]
         if code[at - 1] == "\n":
-            bonus[i] = 0.4
-            if code[at - 2 : at] == "\n\n" or code[at - 3 : at] == "\n\r\n":
-                bonus[i] = 1.0
-            if not code[at].isspace():
-                bonus[i] += 0.3
-    score = depth + bonus
+            blank = code[at - 2 : at] == "\n\n" or code[at - 3 : at] == "\n\r\n"
+            layout[i] = 1 + 2 * blank + (not code[at].isspace())
+    score = np.where(layout > 0, 10, 0) + np.round(depth, DECIMALS) + layout / 10 ** (DECIMALS + 2)
     pieces, start, core = [], 0, 0
     while n - start > limit:
         low = np.searchsorted(edges, core + max(1, int((limit - (core - start)) * LEAST)))
