@@ -1,22 +1,22 @@
 """Problems 1 and 3: source files that do not parse, and source files that nobody wrote by hand.
 
-Both look at each file once, where it lies, and send on only its path and verdict. For problem 3 a Merkle
-hash also goes bottom-up over the directory trees: each directory sums the hashes of its children, so the
-groups are pre-aggregated before each of the few shuffles, however large a directory is. A subtree that
-occurs in unrelated repositories is a vendored copy.
+Both look at each file once, where it lies, and send on only its path, verdict and hashes. For problem 3 the
+files are the leaves of their repositories' directory trees, and the known third-party files are the trees of
+one more, unrelated repository for each library. Merkle hashes go bottom-up: from the lines of a file to the
+file, and from the files to all directories above them. What unrelated repositories share, a directory, a file
+or four fifths of the lines of a file, is a third-party copy; and a directory name under which many copies lie
+in several repositories is a root of vendored code.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codescout.llm.lexers import LANGUAGE, Fault, problem, skeleton
@@ -60,18 +60,26 @@ LOCK_FILE = re.compile(r"(?:^|/)(?:package-lock|npm-shrinkwrap|composer\.lock|pa
 #: What tools write at the head of their files, and what people write there about tools.
 MADE = re.compile(
     r"@generated\b|<auto-?generated\b|\bauto-?generated (?:file|code|from|by|source)\b|\b(?:code|file|source|machine|automatically|auto)[ -](?:was |is )?(?:automatically |auto-?)?generated\b|^\W*generated (?:by|from|with|using|on)\b"
-    r"|\bdo not (?:edit|modify|change)\b|\bmanual changes will be (?:lost|overwritten)|\boutput of \w+\. edit the template|automatisch (?:erzeugt|generiert)|generado autom[aá]ticamente|g[ée]n[ée]r[ée] automatiquement|gerado automaticamente|自动生成|自動生成|\bedit the template\b",
+    r"|\bdo not (?:edit|modify|change)\b|\bmanual changes will be (?:lost|overwritten)|automatisch (?:erzeugt|generiert)|generado autom[aá]ticamente|g[ée]n[ée]r[ée] automatiquement|gerado automaticamente|自动生成|自動生成|\bedit the template\b",
     re.I,
 )
-SPOKEN_OF = re.compile(r"\b(?:reads?|parses?|checks?|writes?|emits?|prints?|produces?|detects?|finds?|skips?)\b.*\b(?:generated|edit|output)\b|method stub|by hand since|no longer generated|(?<![-\w])not generated|used to be generated|maintained by hand|hand-?(?:written|maintained)", re.I)
+SPOKEN_OF = re.compile(r"\b(?:reads?|parses?|checks?|writes?|emits?|prints?|produces?|detects?|finds?|skips?)\b.*\b(?:generated|edit|output)\b|method stub|\bby hand\b|no longer generated|(?<![-\w])not generated|used to be generated|maintained by hand|hand-?(?:written|maintained)", re.I)
 PROTO = re.compile(r"^\W*source: \S+\.(?:proto|idl|thrift|fbs)\b", re.I)
 _HEAD_COMMENT = re.compile(r"\s*(?:(?://|#|--|;|%)[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->)")
-_WORDS = re.compile(r"\w+")
+_LITERAL = r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`)"
+_SLASH_COMMENT, _HASH_COMMENT = re.compile(_LITERAL + r"|//[^\n]*|/\*[\s\S]*?\*/"), re.compile(_LITERAL + r"|#[^\n]*")
 _NO_DIGITS = dict.fromkeys(map(ord, "0123456789"))
-_FLOW = re.compile(r"\b(?:function|def|func|fn|class|return|if|for|while|switch|match|try|import|include)\b|=>")
+_FLOW = re.compile(r"\b(?:function|def|func|fn|class|return|if|for|while|switch|match|try)\b|=>")
 _VALUE = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|-?\b\d[\w.]*|[\[\](){},;:\s]|\b(?:true|false|null|None|True|False)\b")
-SHINGLE, SIMILAR, LEAST_SHINGLES = 5, 0.8, 12
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
+#: Share of lines from which on a file is a copy, least lines of a copy, and shortest line that counts.
+SIMILAR, LEAST_LINES, LINE_CHARS = 0.8, 5, 6
+#: A directory name is a root of vendored code from this share of copies on, with so many copies in so many unrelated repositories.
+ROOT_SHARE, ROOT_COPIES, ROOT_REPOSITORIES = 0.2, 3, 2
+#: Primes of the hashes; products of two remainders fit in 64 bits.
+PRIMES = (2147483647, 2147483629)
+#: Rows of paths that may be broadcast: about 100 MB.
+BROADCAST_ROWS = 500_000
+_COMMENT_LINE = ("//", "#", "/*", "*", "--", "<!--")
 
 
 def made_by_tool(text: str) -> bool:
@@ -92,9 +100,11 @@ def layout(language: str, text: str) -> str | None:
     if size < 200:
         return None
     if language != "css" and size > 400 and sum(map(text.count, ("return", "if ", "if(", "for ", "for("))) <= 4 + size // 500:
-        body = _HEAD_COMMENT.sub("", text) if len(text) < 2000 else text
-        rest = _VALUE.sub("", body)
-        if len(rest) < 0.15 * len(body) and len(_FLOW.findall(rest)) <= 2:
+        body = (_HASH_COMMENT if language == "python" else _SLASH_COMMENT).sub(lambda m: m[1] or "", text)
+        flow = len(_FLOW.findall(re.sub(_LITERAL, "", body)))
+        # Beside functions a single long literal is no more than an embedded image or text.
+        whole = re.sub(_LITERAL, lambda m: m[0][:60], body) if flow else body
+        if flow <= 2 and len(_VALUE.sub("", body)) < 0.15 * len(whole):
             return "data"
     long = [line for line in lines if len(line) > 250]
     if sum(map(len, long)) > 0.5 * size:
@@ -114,156 +124,146 @@ def layout(language: str, text: str) -> str | None:
     return None
 
 
-class LibraryIndex:
-    """Five-word shingles of the known third-party files; as large as that fixed table, whatever the corpus."""
-
-    def __init__(self, contents: list[str]):
-        self.word: dict[str, int] = {}
-        for text in contents:
-            for w in _WORDS.findall(text or ""):
-                self.word.setdefault(w, len(self.word) + 1)
-        self.value = np.array([0, *(zlib.crc32(w.encode()) + 1 for w in self.word)], dtype=np.uint64)
-        own = [np.unique(self._shingles(text or "")) for text in contents]
-        self.sizes = np.array([len(x) for x in own])
-        everything = np.concatenate(own) if own else np.array([], np.uint64)
-        owner = np.repeat(np.arange(len(own)), self.sizes)
-        order = np.argsort(everything, kind="stable")
-        self.hashes, self.owner = everything[order], owner[order]
-
-    def _shingles(self, text: str) -> np.ndarray:
-        words = _WORDS.findall(text)
-        if len(words) < SHINGLE:
-            return np.array([], np.uint64)
-        ids = self.value[np.fromiter(map(self.word.get, words, repeat(0)), np.int32, len(words))]
-        out = np.zeros(len(ids) - SHINGLE + 1, np.uint64)
-        known = np.ones(len(out), bool)
-        with np.errstate(over="ignore"):
-            for i in range(SHINGLE):
-                part = ids[i : i + len(out)]
-                out = (out ^ (part * _MIX[i])) * np.uint64(0x9FB21C651E98DF25) + np.uint64(i)
-                known &= part > 0
-        return np.where(known, out, np.uint64(0))
-
-    def similarity(self, text: str) -> float:
-        """The largest overlap with a library file: shared shingles as a share of the smaller of both sets."""
-        if not len(self.hashes):
-            return 0.0
-        all_mine = self._shingles(text)
-        known = all_mine[all_mine > 0]
-        if len(known) < LEAST_SHINGLES:
-            return 0.0
-        mine = np.unique(known)
-        low, high = np.searchsorted(self.hashes, mine, "left"), np.searchsorted(self.hashes, mine, "right")
-        hit = high > low
-        if hit.sum() < LEAST_SHINGLES:
-            return 0.0
-        counts = np.zeros(len(self.sizes))
-        for a, b in zip(low[hit].tolist(), high[hit].tolist(), strict=True):
-            for k in self.owner[a:b]:
-                counts[k] += 1
-        mine_size = max(len(mine), len(all_mine) * 0.5)  # shingles with a word that no library has count as different
-        return float((counts / np.maximum(np.minimum(self.sizes, mine_size), LEAST_SHINGLES)).max())
-
-
-def file_marks(files: DataFrame, libraries: DataFrame) -> DataFrame:
-    """(repo_name, path, relative_path, language, reason, leaf, is_code): one row for each distinct path.
-
-    reason is lockfile, vendored, generated, library, minified, data, repetitive or null; leaf is the hash
-    of the content. Null or empty contents, prose and settings have no reason (but lock files).
+def line_hashes(text: str | None) -> list[int]:
+    """The distinct hashes of a file's lines without blanks; comments and very short lines are left out."""
+    if not text:
+        return []
+    bare = {"".join(line.split()) for line in text.split("\n")}
+    return [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in bare if len(x) >= LINE_CHARS and not x.startswith(_COMMENT_LINE)]
+
+
+def own_reason(language: str | None, relative: str, text: str | None) -> str | None:
+    """lockfile, generated, minified, data, repetitive or null, by the name, header and layout of one valid file."""
+    if not text or not text.strip() or language is None or language in ("markdown", "text"):
+        return None
+    if language in ("json", "yaml", "toml"):
+        made = LOCK_FILE.search(relative) or (language == "json" and '"lockfileVersion"' in text[:400])
+        found = "lockfile" if made else None
+    else:
+        found = "generated" if made_by_tool(text) else layout(language, text)
+    return found if found and problem(language, text) is None else None
+
+
+def file_leaves(files: DataFrame) -> DataFrame:
+    """(repo_name, path, relative_path, reason, leaf, n_lines, lines, is_code): one row for each input row, without its content.
+
+    reason: see own_reason(). leaf is the hash of the content, the sum of the hashes of its lines; lines are
+    these hashes, each once. Null and empty contents have no lines. No shuffle.
     """
-    contents = [r["content"] for r in libraries.select("content").collect()]  # a fixed table; see LibraryIndex
-    sent = files.sparkSession.sparkContext.broadcast(LibraryIndex(contents))
-
-    def reason(language: str | None, relative: str, text: str | None) -> str | None:
-        if not text or not text.strip() or language is None:
-            return None
-        if language in ("json", "yaml", "toml"):
-            made = LOCK_FILE.search(relative) or (language == "json" and '"lockfileVersion"' in text[:400])
-            return "lockfile" if made and problem(language, text) is None else None
-        if language in ("markdown", "text"):
-            return None
-        found = None
-        if any(part.lower() in VENDOR_DIRS for part in relative.split("/")[:-1]):
-            found = "vendored"
-        elif made_by_tool(text):
-            found = "generated"
-        elif sent.value.similarity(text) >= SIMILAR:
-            found = "library"
-        else:
-            found = layout(language, text)
-        return found if found and problem(language, text) is None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths, rels, texts = (batch.column(i).to_pylist() for i in (1, 2, 3))
             languages = [language_of(p) for p in paths]
             rels = [r or p or "" for r, p in zip(rels, paths, strict=True)]
-            marks = [reason(*x) for x in zip(languages, rels, texts, strict=True)]
+            marks = [own_reason(*x) for x in zip(languages, rels, texts, strict=True)]
             code = [lang is not None and lang not in ("json", "yaml", "toml", "markdown", "text") and bool(t and t.strip()) for lang, t in zip(languages, texts, strict=True)]
+            lines = [line_hashes(t) if is_code else [] for t, is_code in zip(texts, code, strict=True)]
+            leaves = [(sum(x) if x else xxhash.xxh3_64_intdigest(t or "")) % (1 << 64) - (1 << 63) for x, t in zip(lines, texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(rels, pa.string()), pa.array(languages, pa.string()), pa.array(marks, pa.string()), batch.column(4), pa.array(code)],
-                names=["repo_name", "path", "relative_path", "language", "reason", "leaf", "is_code"],
+                [batch.column(0), batch.column(1), pa.array(rels, pa.string()), pa.array(marks, pa.string()), pa.array(leaves, pa.int64()), pa.array(map(len, lines), pa.int32()), pa.array(lines, pa.list_(pa.int64())), pa.array(code, pa.bool_())],
+                names=["repo_name", "path", "relative_path", "reason", "leaf", "n_lines", "lines", "is_code"],
             )
 
-    source = files.select("repo_name", "path", "relative_path", "content", F.xxhash64("content").alias("leaf"))
-    marked = source.mapInArrow(run, "repo_name string, path string, relative_path string, language string, reason string, leaf long, is_code boolean")
-    return marked.dropDuplicates(["path"])
+    source = files.select("repo_name", "path", "relative_path", "content")
+    return source.mapInArrow(run, "repo_name string, path string, relative_path string, reason string, leaf long, n_lines int, lines array<long>, is_code boolean")
 
 
-def merkle_tree(files: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(repo_name, dir, hash, n_files): the Merkle hash of each directory from (repo_name, relative_path, leaf).
+def merkle_tree(leaves: DataFrame) -> DataFrame:
+    """(family, repo_name, dir, hash, n_files): the Merkle hash of each directory from (family, repo_name, relative_path, leaf).
 
-    A directory's hash is the sum of the hashes of its children's names and hashes, so two directories have
-    the same hash if they hold the same names and contents at all depths. Directories deeper than
-    `max_depth` count with their path below that depth as the name of a file.
+    The hash of a directory is made of its children's names, hashes and numbers of files:
+    H(d) = sum over children c of a(c) H(c) + b(c) n(c), modulo two primes, with a and b hashes of the name. As
+    this is linear, each leaf carries its part up to every directory above it, from the bottom to the root, and
+    one aggregation, partial in each task, adds the parts up. Trees of any depth; two directories have the same
+    hash if they hold the same names and leaves at all depths.
     """
-    parts = F.split("relative_path", "/")
-    depth = F.least(F.size(parts) - 1, F.lit(max_depth))
-    node = files.select("repo_name", parts.alias("parts"), depth.alias("depth"), F.col("leaf").alias("hash"))
-    level = node.select("repo_name", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("dir"), "depth", F.expr("array_join(slice(parts, depth + 1, size(parts)), '/')").alias("name"), "hash", F.lit(1).cast("long").alias("n_files"))
-    level = cut(level.groupBy("repo_name", "dir", "depth").agg(F.sum(F.xxhash64("name", "hash").cast("decimal(38,0)")).alias("sum"), F.sum("n_files").alias("n_files")))
-    deepest = level.agg(F.max("depth")).first()[0] or 0
-    done = []
-    above = level.where(F.col("depth") == deepest)
-    for d in range(deepest, -1, -1):
-        here = above.groupBy("repo_name", "dir").agg(F.sum("sum").alias("sum"), F.sum("n_files").alias("n_files"))
-        here = cut(here.select("repo_name", "dir", F.xxhash64(F.col("sum").cast("string")).alias("hash"), "n_files"))
-        done.append(here)
-        if d:
-            up = here.select(
-                "repo_name",
-                F.when(F.instr("dir", "/") > 0, F.regexp_replace("dir", "/[^/]*$", "")).otherwise("").alias("dir"),
-                F.lit(d - 1).alias("depth"),
-                F.xxhash64(F.concat(F.regexp_extract("dir", "[^/]*$", 0), F.lit("/")), "hash").cast("decimal(38,0)").alias("sum"),
-                "n_files",
-            )
-            above = level.where(F.col("depth") == d - 1).unionByName(up)
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    names = F.reverse(F.split("relative_path", "/"))
+    factor = lambda name, seed: F.pmod(F.xxhash64(name, F.lit(seed)), F.lit(PRIMES[0] - 1)) + 1
+    step = lambda v, name, p, seed: F.pmod(F.pmod(v * factor(name, seed), F.lit(p)) + factor(name, seed + 1), F.lit(p))
+    start = F.struct(F.pmod("leaf", F.lit(PRIMES[0])).alias("h1"), F.pmod("leaf", F.lit(PRIMES[1])).alias("h2"), F.expr("cast(array() as array<struct<h1:bigint,h2:bigint>>)").alias("up"))
+
+    def climb(acc, name):
+        h1, h2 = step(acc["h1"], name, PRIMES[0], 1), step(acc["h2"], name, PRIMES[1], 3)
+        return F.struct(h1.alias("h1"), h2.alias("h2"), F.concat(acc["up"], F.array(F.struct(h1.alias("h1"), h2.alias("h2")))).alias("up"))
 
+    parts = leaves.select("family", "repo_name", F.split("relative_path", "/").alias("names"), F.aggregate(names, start, climb)["up"].alias("up"))
+    above = parts.select("family", "repo_name", "names", F.posexplode("up").alias("i", "h"))
+    dirs = above.select("family", "repo_name", F.array_join(F.slice("names", 1, F.size("names") - F.col("i") - 1), "/").alias("dir"), "h")
+    summed = dirs.groupBy("family", "repo_name", "dir").agg(F.sum("h.h1").alias("h1"), F.sum("h.h2").alias("h2"), F.count(F.lit(1)).alias("n_files"))
+    return summed.select("family", "repo_name", "dir", F.struct(F.pmod("h1", F.lit(PRIMES[0])), F.pmod("h2", F.lit(PRIMES[1]))).alias("hash"), "n_files")
 
-def shared_subtrees(tree: DataFrame, least_files: int = 2) -> DataFrame:
-    """(repo_name, dir): directories of at least `least_files` files whose hash occurs in several unrelated repositories.
 
-    Repositories are related if their names begin with the same word before the first hyphen.
+def shared(nodes: DataFrame) -> DataFrame:
+    """The rows of nodes (family, hash, ...) whose hash occurs in several families."""
+    several = nodes.groupBy("hash").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low <> high").select("hash")
+    return nodes.join(several, "hash", "left_semi")
+
+
+def _family(name: str = "repo_name") -> Column:
+    """Repositories are related if their names begin with the same word before the first hyphen."""
+    return F.coalesce(F.split(name, "-").getItem(0), F.lit(""))
+
+
+def third_party(leaves: DataFrame, with_lines: DataFrame, libraries: DataFrame) -> DataFrame:
+    """(path, reason) of the code files that hashes show to be copies: each path once.
+
+    leaves: one row for each path of file_leaves(); with_lines: its rows with their lines, which may repeat.
+
+    subtree: below a directory of at least two files that unrelated repositories share; leaf: the same lines as
+    a file of an unrelated repository or of a library; lines: four fifths of the lines of such a file and half
+    of its own, in any order; root: below a directory whose name is that of a root of vendored code.
     """
-    family = F.split("repo_name", "-").getItem(0)
-    shared = tree.where(F.col("n_files") >= least_files).groupBy("hash").agg(F.min(family).alias("low"), F.max(family).alias("high"))
-    shared = shared.where("low <> high").select("hash")
-    return tree.where((F.col("dir") != "") & (F.col("n_files") >= least_files)).join(shared, "hash", "left_semi").select("repo_name", "dir")
+    code = leaves.where("is_code and relative_path is not null").select(_family().alias("family"), "repo_name", "path", "relative_path", "leaf", "n_lines")
+    lib_id = F.coalesce("lib_name", F.lit("")).alias("name")
+    library = file_leaves(libraries.select(lib_id.alias("repo_name"), F.coalesce("file_name", F.lit("")).alias("path"), F.coalesce("file_name", F.lit("")).alias("relative_path"), "content"))
+    library = cut(library.select(F.concat(F.lit("library "), "repo_name").alias("family"), "repo_name", "relative_path", "leaf", "n_lines", "lines", "is_code").where("is_code"))
+    columns = ["family", "repo_name", "relative_path", "leaf"]
+    below_root = library.withColumn("relative_path", F.concat_ws("/", "repo_name", "relative_path"))
+    tree = merkle_tree(code.select(columns).unionByName(below_root.select(columns))).where("n_files >= 2 and dir <> ''")
+    subtrees = shared(tree.select("family", "repo_name", "dir", "hash")).select("repo_name", "dir").distinct()
+    names = F.split("relative_path", "/")
+    ancestors = F.expr("transform(sequence(1, greatest(size(split(relative_path, '/')) - 1, 1)), i -> array_join(slice(split(relative_path, '/'), 1, i), '/'))")
+    in_subtree = code.select("repo_name", "path", F.explode(ancestors).alias("dir")).join(subtrees, ["repo_name", "dir"], "left_semi").select("path", F.lit("subtree").alias("reason"))
+
+    long_enough = F.col("n_lines") >= LEAST_LINES
+    same = shared(code.where(long_enough).select("family", "path", F.col("leaf").alias("hash")).unionByName(library.where(long_enough).select("family", F.lit(None).cast("string").alias("path"), F.col("leaf").alias("hash"))))
+    in_leaf = same.where("path is not null").select("path", F.lit("leaf").alias("reason"))
+
+    known = library.withColumn("file", F.monotonically_increasing_id()).select("file", F.col("n_lines").alias("n_known"), F.explode("lines").alias("line"))
+    known = cut(known)
+    if known.count() <= BROADCAST_ROWS:  # a fixed table
+        known = F.broadcast(known)
+    open_lines = with_lines.where("is_code").where(long_enough).select("path", F.col("n_lines").alias("n"), F.explode("lines").alias("line"))
+    met = open_lines.join(known, "line").groupBy("path", "n", "file", "n_known").agg(F.count_distinct("line").alias("both"))
+    alike = (F.col("both") >= SIMILAR * F.least("n", "n_known")) & (F.col("both") >= 0.5 * F.col("n")) & (F.col("both") >= LEAST_LINES)
+    in_lines = met.where(alike).select("path", F.lit("lines").alias("reason"))
+
+    rank = F.when(F.col("reason") == "subtree", 0).when(F.col("reason") == "leaf", 1).otherwise(2)
+    copies = cut(in_subtree.unionByName(in_leaf).unionByName(in_lines).groupBy("path").agg(F.min_by("reason", rank).alias("reason")))
+    named = code.join(copies.select("path", F.lit(1).alias("copy")), "path", "left").select("family", "path", "copy", F.explode(F.array_distinct(F.transform(F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0))), lambda x: F.lower(x)))).alias("name"))
+    counted = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count("copy").alias("copies"), F.count_distinct(F.when(F.col("copy") == 1, F.col("family"))).alias("families"))
+    roots = counted.where((F.col("copies") >= ROOT_COPIES) & (F.col("families") >= ROOT_REPOSITORIES) & (F.col("copies") >= ROOT_SHARE * F.col("n"))).select("name")
+    in_root = named.where("copy is null").join(roots, "name", "left_semi").select("path", F.lit("root").alias("reason")).distinct()
+    return copies.unionByName(in_root)
 
 
 def not_hand_written(files: DataFrame, libraries: DataFrame) -> DataFrame:
-    """(path, reason) of the files that nobody wrote by hand for their repository; see file_marks() for the reasons.
+    """(path, reason) of the files that nobody wrote by hand for their repository, each path once.
 
-    `subtree` marks code below a directory that unrelated repositories share as it is.
+    Reasons: those of third_party(); vendored (below a directory whose name is set aside for third-party code but
+    under which too few copies lie to show it); those of own_reason(). Null and empty contents, files that are
+    not valid in their language, prose and settings (but lock files) have none.
     """
-    marks = cut(file_marks(files, libraries))
-    shared = shared_subtrees(merkle_tree(marks.where("relative_path is not null")))
-    open_code = marks.where("reason is null and is_code")
-    ancestors = F.expr("transform(sequence(1, greatest(size(split(relative_path, '/')) - 1, 1)), i -> array_join(slice(split(relative_path, '/'), 1, i), '/'))")
-    below = open_code.select("repo_name", "path", F.explode(ancestors).alias("dir")).join(shared, ["repo_name", "dir"], "left_semi").select("path").distinct()
-    found = marks.where("reason is not null").select("path", "reason")
-    return found.unionByName(below.select("path", F.lit("subtree").alias("reason")))
+    with_lines = cut(file_leaves(files))
+    leaves = cut(with_lines.drop("lines").dropDuplicates(["path"]))
+    kept_aside = F.exists(F.slice(F.split("relative_path", "/"), 1, F.greatest(F.size(F.split("relative_path", "/")) - 1, F.lit(0))), lambda x: F.lower(x).isin(*sorted(VENDOR_DIRS)))
+    by_name = leaves.where(F.col("is_code") & kept_aside).select("path", F.lit("vendored").alias("reason"))
+    by_hash = third_party(leaves, with_lines, libraries)
+    both = by_hash.withColumn("nth", F.lit(0)).unionByName(by_name.withColumn("nth", F.lit(1))).groupBy("path").agg(F.min_by("reason", "nth").alias("reason"))
+    candidates = cut(both.join(leaves.where("reason is not null").select("path"), "path", "left_anti"))
+    # Files with a reason of their own are known to be valid; the candidates are looked at where they lie.
+    wanted = F.broadcast(candidates) if candidates.count() <= BROADCAST_ROWS else candidates
+    faults = parse_faults(files.join(wanted.select("path"), "path", "left_semi")).where("fault is not null").select("path").distinct()
+    found = candidates.join(faults, "path", "left_anti")
+    return leaves.where("reason is not null").select("path", "reason").unionByName(found)

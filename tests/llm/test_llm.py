@@ -175,7 +175,7 @@ def test_not_hand_written(spark):
     body = "\n".join(f"def step_{w}(alpha_{w}, beta_{w}):\n    return alpha_{w} * beta_{w} + gamma_{w}({i})\n" for i, w in enumerate("abcdefghij"))
     by_hand = "import os\n\n# Reads files generated by atool and checks them.\n\ndef main(path):\n    with open(path) as f:\n        return f.read()\n"
     rows = [
-        ("red-a", "vendor/lib/x.py", by_hand),
+        ("red-a", "vendor/kit/x.py", by_hand),
         ("red-a", "vendor_portal/x.py", by_hand.replace("main", "first")),
         ("red-a", "gen.py", "# Code generated by atool. DO NOT EDIT.\nx = 1\n"),
         ("red-a", "banner.py", by_hand.replace("# Reads", 'BANNER = "# Code generated by atool. DO NOT EDIT."\n# Reads')),
@@ -191,12 +191,13 @@ def test_not_hand_written(spark):
         ("red-c", "lib/inner/0.go", "package inner\n\nfunc F0(a int) int {\n\treturn a + 0\n}\n"),
     ]
     df = spark.createDataFrame([(repo, f"/srv/{repo}/{rel}", rel, text) for repo, rel, text in [*rows, rows[0]]], "repo_name string, path string, relative_path string, content string").withColumn("hash", F.lit(1))
-    lib = spark.createDataFrame([("lib", body), ("none", None)], "lib_name string, content string")
+    lib = spark.createDataFrame([("lib", "x.py", body), ("none", None, None)], "lib_name string, file_name string, content string")
     found = {r["path"].removeprefix("/srv/"): r["reason"] for r in files.not_hand_written(df, lib).collect()}
     assert found == {
-        "red-a/vendor/lib/x.py": "vendored",
+        "red-a/vendor/kit/x.py": "vendored",
+        "red-c/lib/inner/0.go": "root",  # what lies below lib is shared
         "red-a/gen.py": "generated",
-        "red-a/copy.py": "library",
+        "red-a/copy.py": "lines",
         "red-a/package-lock.json": "lockfile",
         "red-a/app.min.js": "minified",
         "red-a/data.py": "data",
@@ -205,6 +206,26 @@ def test_not_hand_written(spark):
     assert files.not_hand_written(df.limit(0), lib).count() == 0
 
 
+def test_merkle_tree_is_built_of_children(spark):
+    rows = [("x", "x-1", "a/b/f", 5), ("x", "x-1", "a/b/g", 6), ("x", "x-1", "a/h", 7), ("y", "y-1", "q/b/f", 5), ("y", "y-1", "q/b/g", 6), ("y", "y-1", "q/c/f", 6), ("y", "y-1", "b/q/f", 5), ("y", "y-1", "/".join("d" * 90) + "/f", 5)]
+    df = spark.createDataFrame(rows, "family string, repo_name string, relative_path string, leaf long")
+    nodes = {(r["repo_name"], r["dir"]): (tuple(r["hash"]), r["n_files"]) for r in files.merkle_tree(df).collect()}
+    assert nodes["x-1", "a/b"] == nodes["y-1", "q/b"]
+    assert len({nodes[k] for k in (("x-1", "a"), ("y-1", "q"), ("y-1", "q/c"), ("y-1", "b"), ("y-1", "b/q"))}) == 5
+    assert nodes["x-1", "a"][1] == 3 and ("y-1", "/".join("d" * 90)) in nodes
+    assert {r["dir"] for r in files.shared(files.merkle_tree(df)).collect()} == {"a/b", "q/b"}
+
+
+def test_roots_of_vendored_code(spark):
+    body = lambda k: "\n".join(f"def step_{k}_{i}(a):\n    return alpha_{k}_{i} * {i}\n" for i in range(8))
+    lib = spark.createDataFrame([(f"lib{k}", "f.py", body(k)) for k in range(4)], "lib_name string, file_name string, content string")
+    rows = [(f"{family}-a", f"bought/lib{k}/g{k}.py", body(k)) for k, family in enumerate(("red", "blue", "green", "grey"))]
+    rows += [("red-a", "bought/other/own.py", body("z")), ("red-a", "src/own.py", body("y")), ("red-a", "bought/broken.py", body("w") + "x = (")]
+    df = spark.createDataFrame([(r, f"/srv/{r}/{p}", p, c) for r, p, c in rows], "repo_name string, path string, relative_path string, content string")
+    found = {r["path"]: r["reason"] for r in files.not_hand_written(df, lib).collect()}
+    assert found == {**{f"/srv/{r}/{p}": "leaf" for r, p, _ in rows[:4]}, "/srv/red-a/bought/other/own.py": "root"}
+
+
 # --- problem 4 -------------------------------------------------------------------------------------------------------
 
 
