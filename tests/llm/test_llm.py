@@ -153,12 +153,262 @@ INVALID = {
 }
 
 
+MORE_VALID = {
+    "javascript": [
+        'load().catch(e => log(e))',
+        'p.then(a).catch(b).finally(c)',
+        'Symbol.for("x")',
+        'it.return(1)',
+        'x.throw(e)',
+        '({catch: 1, for: 2})',
+        'const o = {catch: 1, for: 2, default: 3, return() { return 1 }};',
+        'if (a<-1) b()',
+        'class A { static async *gen() { yield* x; } get(k) { return k } delete(x) {} #p = 1; static { x() } foo = () => {} }',
+        'a = b ? c : d;\nfor (;;) { break }\nfor (let i=0; i<3; i++) f(i);\nfor (const x of y) {}',
+        'label: for (const k in o) { continue label }',
+        'const {a, b: {c}} = x, [d,, e] = y;',
+        'switch (x) { case "a": case 1: f(); break; default: g() }',
+        'x = y\n++z',
+        'let f = async (a, b = 2, ...c) => ({a, b});',
+        'new Foo; new Bar(); typeof x === "y"; void 0; delete a.b',
+        'export * as n from "x"; import a, {b as c} from "d"; export {default} from "e"',
+        'let of = 1; let get = 2; of + get',
+        'a = `x${b}` + tag`y${c}`',
+        'x = a ?. b ?? c',
+        'do x++; while (x < 3)',
+        'if (a) return; else throw new E()',
+        'var x = function*() {}',
+        'a = {get x() { return 1 }, set x(v) {}, async y() {}, "z": 1, [k]: 2, 3: 4}',
+        'async function f() { for await (const x of y) {} }',
+        'var x = 1e+5, y = 0xFFn, z = .5',
+    ],
+    "typescript": [
+        'type A = { readonly a?: string; b(): void };',
+        'let x = <T,>(a: T) => a;',
+        'enum A { B = 1, C }',
+        'function f<T extends keyof U>(this: X, a?: T): asserts a is T { }',
+        'abstract class A { private constructor(readonly x: number) { super() } declare y: string; abstract z(): void; get w(): string { return "" } }',
+        'const a = b as const; const c = d satisfies E;',
+        'declare module "x" { export default function f(): void }',
+        'type F = (a: number) => string | undefined;\ntype G = | A | B;',
+        'import type { A } from "b"; export type { C }',
+        'let t: [a: string, b?: number] = x!;',
+    ],
+    "rust": [
+        'fn a() -> impl Fn() { || 1 }',
+        'fn a() { let x = if y { 1 } else { 2 }; match x { 0..=9 => {} _ if z => (), Some(ref a) | None => return } }',
+        "pub(crate) struct A<'a, T: Fn(u8) -> u8>(&'a T);",
+        'fn a() { let [x, ..] = y; for i in 0..10 { break } loop {} }',
+        'macro_rules! m { ($a:expr, $($b:tt)*) => { $a; $($b)* } }',
+        'fn f() { x.await?; y::<Vec<u8>>(); a as usize; }',
+        'impl<T> A for B<T> where T: C { type D = E; const F: u8 = 1; }',
+    ],
+    "c": [
+        'int main(void) { return 0; }',
+        'struct a { int b : 3; } c = { .b = 1 };',
+        'typedef int (*f)(int, char *);',
+        'enum { A, B = 2 };',
+        'int a[] = {1, 2, 3,};',
+        'static inline void f(unsigned int a, struct b *c) { if (a) { x(); } else y(); do { z++; } while (0); }',
+        'extern "C" {\nint f(void);\n}',
+        '#define X(a) do { a } while (0)\nint f(void) { X(y) }',
+    ],
+    "java": [
+        'class A { int x = 1; int f(final int a, String... b) throws E { return a; } }',
+        'interface A<T> { default void f() {} }',
+        'class A { List<List<String>> a = new ArrayList<>(); int[] b = {1, 2,}; Runnable r = () -> { x(); }; Function<A,B> g = A::new; }',
+        'class A { void f() { for (int i = 0; i < 3; i++) {} for (String s : t) {} label: while (true) break label; switch (x) { case 1 -> y(); default -> { } } } }',
+        'record A(int x, int y) { }',
+        '@A(b = 1, c = {2, 3}) public enum B { C, D(1) { int f() { return 1; } }; B() {} }',
+    ],
+    "go": [
+        'package a\nfunc f(a, b int) (x int, err error) { if x := g(); x > 0 { return x, nil }; for i := range y { _ = i }; select { case <-c: default: }; return }\n',
+        'package a\ntype T[K comparable, V any] struct { a K `json:"a"`; *B }\nvar x = map[string][]int{"a": {1, 2}}\n',
+    ],
+    "yaml": [
+        '? a\n: b\n',
+        'a:\n  ? b\n  : c\n',
+        'a: |2\n   x\n  y\n',
+        '- - a\n  - b\n- c: d\n',
+        'a: !!str x\nb: >-\n  t\n\n  u\nc: 1\n',
+    ],
+    "python": [
+        'def f(a, /, b, *, c=1, **d) -> int: return a\n',
+        'x: int = 1\nasync def g():\n    async with a as b, c as d:\n        await e\n',
+        'match x:\n    case [1, *rest] if y: pass\n    case {"a": b, **c}:\n        pass\n    case A(b=1) | None: pass\n',
+        'type X[T] = list[T]\n',
+        'f"{x["a"]!r:>{w}} {{}}"\n',
+        'lambda: (yield)\n',
+        'try: pass\nexcept* E as e: pass\nelse: pass\nfinally: pass\n',
+        'print(a if b else c, *d, **e)\n',
+        'x = [i for i in y if i for j in z]\nx[1:2, ::3] = 1\n',
+        'from . import (a, b as c,)\nfrom ...d.e import *\nimport f.g as h, i\n',
+        '@a.b(c)\nclass D(E, metaclass=F): x = 1; y = 2\n',
+        'if (n := f()) > 1: pass\nelif not n: pass\nelse: pass\n',
+        'match = 1; case = 2; type = 3\nmatch.x(case)\nprint(type)\n',
+        'with (open(a) as b, c): pass\n',
+        'del a, b[0]\nassert a, "b"\nraise E from None\nglobal q, r\n',
+        'x = yield from y\nx = *a, b\nreturn\n',
+        '0x_ff; 1_000.5e-3j; 0o17; 00; .5; 1.\n',
+        'for x, *y in z: continue\nelse: pass\nwhile 1: break\n',
+        'a = b = c\na += 1\na @= b\na: int\n',
+        'x = not a in b is not c and d or e\n',
+        '"""doc"""\n',
+        'class A[T: int, *U, **V]: pass\n',
+        'x = {**a, "b": 1, **c}; y = {1, *z}; w = {k: v for k, v in q}\n',
+        'print(*args, sep="")\nx = a[b](c).d\n',
+        'if x:\n    pass\n# c\nelse:\n    pass\n',
+    ],
+    "toml": [
+        'a.b."c d" = 1\n[x."y".z]\nb = 1979-05-27T07:32:00Z\nc = {d = 1, e.f = [1, 2,\n 3,]}\n[[p]]\n',
+        'a = 0x1f\nb = -1_000.5e+3\nc = inf\nd = """x\ny"""\ne = \'\'\'z\'\'\'\nf = 07:32:00\ng = true # c\n',
+        '[a]\r\nb = 1\r\n',
+    ],
+}
+MORE_INVALID = {
+    "c": [
+        'int main(void) { return 0 }',
+        'int f(int a b);',
+        'int f(int a b) { return a; }',
+        'foo(1,,2);',
+        'void f(void) { foo(1,,2); }',
+    ],
+    "java": [
+        'class A { int x = 1 int y; }',
+        'interface { }',
+        'class A { void f() { foo(1,,2); } }',
+        'class { }',
+    ],
+    "javascript": [
+        'class A { foo: 1 }',
+        'var 1a = 2',
+        'x = a +* b',
+        'for (let i=0; i<3, i++) {}',
+        'foo(1,,2)',
+        'function (a { }',
+        'if x { }',
+        'let x = ',
+        'const a: b = 1',
+        'a b c',
+        'return }',
+        'f(a; b)',
+        'x = {a: 1, b: }',
+        'else { }}',
+        'x = 3px',
+    ],
+    "typescript": [
+        'interface { }',
+        'foo(1,,2)',
+        'let x: = 1',
+        'a + * b',
+    ],
+    "rust": [
+        'fn f() { let x = ; }',
+        'fn f( { }',
+        'let x = 1',
+        'fn f() { a b }',
+        'fn f() { 1x }',
+    ],
+    "go": [
+        'package a\nfunc f() { x = = 1 }\n',
+        'package a\nfunc f() { foo(1,,2) }\n',
+    ],
+    "yaml": [
+        'a: |\n  x\n y\n',
+        'a: >\n    x\n  y\nb: 1\n',
+    ],
+    "python": [
+        '... [cut] ...\n',
+        '    \n  x = 1\n',
+        '// c\nx = 1\n',
+        'x = 343L\n',
+        'def f():\n    return x +\n',
+        'try:\n    pass\nx = 1\n',
+        'else:\n    pass\n',
+        'print "x"\n',
+        'if x = 1: pass\n',
+        'f() = 1\n',
+        '1 = x\n',
+        'def f(a b): pass\n',
+        'x = = 1\n',
+        'class A\n    pass\n',
+        'use std::env;\n',
+        'import\n',
+        'from x import\n',
+        'x = [1,, 2]\n',
+        'for x y: pass\n',
+        'while: pass\n',
+        'f(,a)\n',
+        'a → b\n',
+        '0777\n',
+        'x = a b\n',
+        'None = 1\n',
+        'return = 2\n',
+        'def = 1\n',
+        'x = (1 2)\n',
+        'lambda x y: 1\n',
+        'import a.\n',
+        'try:\n    x\n',
+        'x++\n',
+        'if x:\n    pass\nelse if y:\n    pass\n',
+        'x = a ? b : c\n',
+        'func f() { }\n',
+        'def f():\n    x = 1;;\n',
+    ],
+    "toml": [
+        'a = 1 b = 2\n',
+        '[a]]\n',
+        'a = \n',
+        '= 1\n',
+        'a.= 1\n',
+        'a = [1 2]\n',
+        'a = {b = 1\n}\n',
+        'a = tru\n',
+        '<<<<<<< x\n',
+        'a: 1\n',
+        'a = 01\n',
+        '[a\n',
+        'a = "x" y\n',
+        '[a]\n[a]\n',
+        'a=1\na=2\n',
+        'a = 1..2\n',
+    ],
+}
+
+
 @pytest.mark.parametrize("language", sorted(VALID))
 def test_lexers(language):
+    assert [t for t in MORE_VALID.get(language, []) if lexers.problem(language, t)] == []
+    assert [t for t in MORE_INVALID.get(language, []) if not lexers.problem(language, t)] == []
     assert [t for t in VALID[language] if lexers.problem(language, t)] == []
     assert [t for t in INVALID[language] if not lexers.problem(language, t)] == []
 
 
+def test_python_and_toml_equal_their_parsers():
+    """The installed library against the interpreter's own parser, and each of its files with a line cut off in the middle."""
+    import ast
+    import pathlib
+    import warnings
+
+    warnings.simplefilter("ignore")
+    checked, wrong = 0, []
+    r = random.Random(3)
+    for path in sorted(pathlib.Path(os.__file__).parent.glob("*.py"))[:120]:
+        text = path.read_text(encoding="utf-8")
+        lines = text.split("\n")
+        at = r.randrange(len(lines))
+        for one in (text, "\n".join([*lines[:at], lines[at][: len(lines[at]) // 2], *lines[at + 1 :]])):
+            try:
+                ast.parse(one)
+                valid = True
+            except (SyntaxError, ValueError):
+                valid = False
+            checked += 1
+            if valid != (lexers.problem("python", one) is None):
+                wrong.append((path.name, valid, lexers.problem("python", one)))
+    assert len(wrong) <= 0.02 * checked, wrong
+
+
 def test_parse_faults(spark):
     df = spark.createDataFrame([("/a/x.PY", "r", "x = ("), ("/a/x.PY", "r", "x = ("), ("/a/y.md", "r", "x = ("), (None, None, "x"), ("/a/z.go", "r", None)], "path string, repo_name string, content string").withColumn("language", F.lit("clash"))
     out = files.parse_faults(df)
@@ -217,7 +467,7 @@ def test_merkle_tree_is_built_of_children(spark):
 
 
 def test_roots_of_vendored_code(spark):
-    body = lambda k: "\n".join(f"def step_{k}_{i}(a):\n    return alpha_{k}_{i} * {i}\n" for i in range(8))
+    body = lambda k: "\n".join(f"def step_{w}_{k}(a):\n    return alpha_{w}_{k} * beta_{w}(a)\n" for w in "abcdefgh")
     lib = spark.createDataFrame([(f"lib{k}", "f.py", body(k)) for k in range(4)], "lib_name string, file_name string, content string")
     rows = [(f"{family}-a", f"bought/lib{k}/g{k}.py", body(k)) for k, family in enumerate(("red", "blue", "green", "grey"))]
     rows += [("red-a", "bought/other/own.py", body("z")), ("red-a", "src/own.py", body("y")), ("red-a", "bought/broken.py", body("w") + "x = (")]
