@@ -5,30 +5,39 @@ divergence. Each subject owns one component, anchored on the terms of its labell
 description; further components hold each language's common words. In this form a document's row of W is
 the number of its words that each component explains, so it is read directly as the subject mixture.
 
-A pass over the corpus updates W for each document in its task and adds up the new H by term before the
-shuffle; H itself has at most `vocabulary` rows and is the only thing that is sent around.
+Texts are read once; a term is the place of its hash among `BUCKETS`, so every term of every document takes part
+and H has at most that many rows, whatever the corpus. A pass over the vectors updates W for each document in its
+task and adds up the new H by term before the shuffle; H is the only thing that is sent around. A term that only
+one component explains adds its count to that component once and for all; only the others take part in the updates,
+and a document leaves them when its mixture no longer moves.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codescout.session import cut
 
-#: Size of the model: the most frequent terms that it knows. Rarer terms have no say in any subject.
-VOCABULARY = 40_000
-MIN_DF = 2
+#: Places of hashed terms (a power of two).
+BUCKETS = 1 << 20
 ROUNDS = 4
-INNER = 8
-LANGUAGES = ("en", "de", "es", "zh")
+#: Updates of W in a pass at most, and the change in words below which a mixture no longer moves.
+INNER, STILL = 8, 0.005
+#: What is added to H, and below which a component has no part in a term.
+FLOOR = 1e-9
+#: Share of the documents from which on a language has a component for its common words.
+LANGUAGE_SHARE = 0.01
+#: Codes that stand for no language.
+NO_LANGUAGE = ("und", "mul", "mis", "zxx")
 #: Least words that a subject must explain, and their least share of what all subjects explain.
 MIN_MASS, MIN_SHARE, LONE_MASS = 1.9, 0.09, 0.7
 #: Weight of a pair of Chinese characters: a term of two characters touches about three pairs.
@@ -67,35 +76,34 @@ def _mend(text: str) -> str:
     return re.sub(r"[\u0080-ÿŒ-Ÿˆ˜–-™]{2,}", back, text)
 
 
-def _vocabulary(docs: DataFrame, size: int) -> list[tuple[str, int]]:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                df.update(terms(text).keys())
-            if len(df) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(df.keys(), pa.string()), pa.array(df.values(), pa.int64())], names=["term", "df"])
-                df.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(df.keys(), pa.string()), pa.array(df.values(), pa.int64())], names=["term", "df"])
-
-    counted = docs.select("text").where("text is not null").mapInArrow(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    return [(r["term"], r["df"]) for r in counted.where(F.col("df") >= MIN_DF).orderBy(F.desc("df"), "term").limit(size).collect()]
+def _place(term: str) -> int:
+    return zlib.crc32(term.encode("utf-8", "replace")) % BUCKETS
 
 
-def _vectors(docs: DataFrame, index: dict[str, int]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+def _vectors(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, cols, counts) of each document with a text; the places are in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known: dict[str, int] = {}
         for batch in batches:
-            cols, counts = [], []
+            lengths, cols, counts = [], [], []
             for text in batch.column(2).to_pylist():
-                pairs = sorted((i, n) for t, n in terms(text).items() if (i := known.get(t)) is not None)
-                cols.append([i for i, _ in pairs])
-                counts.append([n for _, n in pairs])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=["doc_id", "lang", "cols", "counts"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang"), F.lit("en")).alias("lang"), "text").where("text is not null").mapInArrow(run, "doc_id long, lang string, cols array<int>, counts array<float>")
+                at: dict[int, float] = {}
+                for term, n in terms(text).items():
+                    i = known.get(term)
+                    if i is None:
+                        i = known[term] = _place(term)
+                    at[i] = at.get(i, 0) + n
+                pairs = sorted(at.items())
+                lengths.append(len(pairs))
+                cols += [i for i, _ in pairs]
+                counts += [n for _, n in pairs]
+            if len(known) > BUCKETS:
+                known.clear()
+            ends = pa.array(np.cumsum([0, *lengths]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(cols, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(counts, pa.float32()))], names=["doc_id", "lang", "cols", "counts"])
+
+    return docs.select(F.col("doc_id").cast("long"), "lang", "text").where("text is not null").mapInArrow(run, "doc_id long, lang string, cols array<int>, counts array<float>")
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -104,33 +112,73 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, in
     return np.repeat(np.arange(len(lengths)), lengths), cols.flatten().to_numpy(), counts.flatten().to_numpy(), len(lengths)
 
 
-def _mixtures(batch: pa.RecordBatch, h: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """W of a batch for a fixed H (terms x components), the last shares of each entry, and its term."""
-    rows, cols, counts, n = _flat(batch)
-    w = np.ones((n, h.shape[1]), np.float32)
-    hv = h.astype(np.float32, copy=False)[cols]
-    part = np.zeros_like(hv)
-    if len(rows):
-        starts = np.flatnonzero(np.diff(rows, prepend=-1))
-        filled = rows[starts]
-        lengths = np.diff(starts, append=len(rows))
-        for _ in range(inner):
-            part = np.repeat(w[filled], lengths, axis=0)
-            part *= hv
-            part *= (counts / np.maximum(np.einsum("ij->i", part), 1e-30))[:, None]
-            w[filled] = np.add.reduceat(part, starts, axis=0) + np.float32(1e-9)
-    w[np.bincount(rows, minlength=n) == 0] = 0
-    return w, part, cols
-
+def _term_sums(weighted: DataFrame) -> DataFrame:
+    """(key, col, n, df) from (key int, weight double, cols, counts): the counts, 2 at most for each document, and the documents, summed in the task first."""
 
-def _next_h(vectors: DataFrame, h: np.ndarray, inner: int) -> np.ndarray:
-    sent = vectors.sparkSession.sparkContext.broadcast(h.astype(np.float32))
-    k = h.shape[1]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, cols, counts, _ = _flat(batch)
+            key, weight = batch.column(0).to_numpy(zero_copy_only=False)[rows], batch.column(1).to_numpy(zero_copy_only=False)[rows]
+            at, where = np.unique(key.astype(np.int64) * BUCKETS + cols, return_inverse=True)
+            n = np.bincount(where, np.minimum(counts, 2.0) * weight, minlength=len(at))
+            yield pa.RecordBatch.from_arrays([pa.array(at // BUCKETS, pa.int32()), pa.array(at % BUCKETS, pa.int32()), pa.array(n, pa.float64()), pa.array(np.bincount(where, minlength=len(at)), pa.int64())], names=["key", "col", "n", "df"])
+
+    parts = weighted.select("key", "weight", "cols", "counts").mapInArrow(run, "key int, col int, n double, df long")
+    return parts.groupBy("key", "col").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+
+
+class Model:
+    """H on the places that occur (in order), and what of it the updates need."""
+
+    def __init__(self, places: np.ndarray, h: np.ndarray):
+        self.places, self.h = places, h.astype(np.float32)
+        part = h > 2 * FLOOR
+        self.alone = part.sum(1) == 1  # terms of one component
+        self.owner = part.argmax(1)
+
+    def mixtures(self, batch: pa.RecordBatch, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """W of a batch for this H, the last shares of each entry, and its row of H."""
+        rows, cols, counts, n = _flat(batch)
+        cols = np.searchsorted(self.places, cols)
+        k = self.h.shape[1]
+        share = np.zeros((len(rows), k), np.float32)
+        alone = self.alone[cols]
+        share[np.flatnonzero(alone), self.owner[cols[alone]]] = counts[alone]
+        base = np.bincount(rows[alone] * k + self.owner[cols[alone]], counts[alone], minlength=n * k).reshape(n, k).astype(np.float32)
+        w = base + 1
+        moving = np.flatnonzero(~alone)  # entries whose documents still move
+        hv = self.h[cols[moving]]
+        for _ in range(inner):
+            if not len(moving):
+                break
+            of, many = rows[moving], counts[moving]
+            part = w[of] * hv
+            part *= (many / np.maximum(np.einsum("ij->i", part), 1e-30))[:, None]
+            share[moving] = part
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            docs = of[starts]
+            new = base[docs] + np.add.reduceat(part, starts, axis=0) + np.float32(FLOOR)
+            change = np.abs(new - w[docs]).max(1)
+            w[docs] = new
+            stays = np.zeros(n, bool)
+            stays[docs[change > STILL]] = True
+            if stays.sum() < 0.8 * len(docs):
+                keep = stays[of]
+                moving, hv = moving[keep], hv[keep]
+        untouched = np.bincount(rows[~alone], minlength=n) == 0
+        w[untouched] = base[untouched]
+        return w, share, cols
+
+
+def _next_h(vectors: DataFrame, model: Model, inner: int) -> np.ndarray:
+    """The sums of the shares by term and component, as large as H."""
+    sent = vectors.sparkSession.sparkContext.broadcast(model)
+    k = model.h.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(sent.value.shape)
+        total = np.zeros(sent.value.h.shape)
         for batch in batches:
-            _, part, cols = _mixtures(batch, sent.value, inner)
+            _, part, cols = sent.value.mixtures(batch, inner)
             for j in range(k):
                 total[:, j] += np.bincount(cols, part[:, j], minlength=len(total))
         used = np.flatnonzero(total.sum(1) > 0)
@@ -138,8 +186,8 @@ def _next_h(vectors: DataFrame, h: np.ndarray, inner: int) -> np.ndarray:
 
     schema = "col int, " + ", ".join(f"c{j} double" for j in range(k))
     summed = vectors.select("cols", "counts").mapInArrow(run, schema).groupBy("col").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(k)))
-    table = summed.toPandas().to_numpy()  # at most one row for each term of the vocabulary
-    out = np.zeros_like(h)
+    table = summed.toPandas().to_numpy()  # at most one row for each place
+    out = np.zeros(model.h.shape)
     out[table[:, 0].astype(int)] = table[:, 1:]
     sent.unpersist()
     return out
@@ -147,7 +195,7 @@ def _next_h(vectors: DataFrame, h: np.ndarray, inner: int) -> np.ndarray:
 
 def _by_block(values: np.ndarray, block: np.ndarray) -> np.ndarray:
     """Columns summing to 1 over the terms of each language, so that a subject weighs the same in each."""
-    sums = np.zeros((len(LANGUAGES), values.shape[1]))
+    sums = np.zeros((int(block.max(initial=0)) + 1, values.shape[1]))
     np.add.at(sums, block, values)
     return values / np.maximum(sums, 1e-12)[block]
 
@@ -157,39 +205,41 @@ def _anchored(totals: np.ndarray, subjects: int, block: np.ndarray) -> np.ndarra
     share = totals / np.maximum(totals.sum(1, keepdims=True), 1e-12)
     kept = totals.copy()
     kept[:, :subjects][share[:, :subjects] < 0.12] = 0
-    own = block[:, None] == np.arange(len(LANGUAGES))[None, :]
+    own = block[:, None] == np.arange(totals.shape[1] - subjects)[None, :]
     kept[:, subjects:] *= own * np.where(share[:, :subjects].sum(1) > 0.6, 0.25, 1.0)[:, None]
-    return _by_block(kept, block) + 1e-9
+    return _by_block(kept, block) + FLOOR
 
 
-def fit_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> tuple[list[str], dict[str, int], np.ndarray, DataFrame]:
-    """(subject names, term index, H, document vectors). All documents and all labels take part."""
+def fit_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, rounds: int = ROUNDS) -> tuple[list[str], Model, DataFrame]:
+    """(subject names, model, document vectors). All documents, all labels and all terms take part."""
     names = sorted(r["subject"] for r in subjects.select("subject").where("subject is not null").distinct().collect())  # a fixed small table
-    words = _vocabulary(docs, vocabulary)
-    index = {t: i for i, (t, _) in enumerate(words)}
-    vectors = cut(_vectors(docs, index))
-    k, n = len(names), max(1, len(index))
-
-    def term_sums(df: DataFrame, key: str) -> DataFrame:
-        pairs = df.select(F.col(key).alias("key"), "weight", F.explode(F.arrays_zip("cols", "counts")).alias("x"))
-        return pairs.groupBy("key", F.col("x.cols").alias("col")).agg(F.sum(F.least(F.col("x.counts"), F.lit(2.0)) * F.col("weight")).alias("n"))
-
+    vectors = cut(_vectors(docs))
+    k = len(names)
+    share = vectors.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy()))  # a row for each language
+    frequent = share.where(F.col("lang").isNotNull() & ~F.col("lang").isin(*NO_LANGUAGE) & (F.col("n") >= LANGUAGE_SHARE * F.col("all"))).orderBy(F.desc("n"), "lang").collect()
+    languages = [r["lang"] for r in frequent] or [""]
+    number = lambda values, name: F.coalesce(*(F.when(F.col(name) == x, F.lit(i)) for i, x in enumerate(values)), F.lit(0)).alias("key")
+
+    common_sums = _term_sums(vectors.select(number(languages, "lang"), F.lit(1.0).alias("weight"), "cols", "counts")).toPandas().to_numpy()  # languages x places at most
+    places = np.unique(common_sums[:, 1].astype(np.int64))
+    n = max(1, len(places))
+    common, seed = np.zeros((n, len(languages))), np.zeros((n, k))
+    common[np.searchsorted(places, common_sums[:, 1].astype(np.int64)), common_sums[:, 0].astype(int)] = common_sums[:, 2]
     # Labelled documents count the more for a subject the fewer other subjects they have.
     label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "subject").where("doc_id is not null and subject is not null").distinct()
-    per_doc = label.groupBy("doc_id").agg(F.collect_set("subject").alias("set")).select("doc_id", (1.0 / F.size("set")).alias("weight"), F.explode("set").alias("subject"))
-    seed = np.zeros((n, k))
-    for r in term_sums(vectors.join(per_doc, "doc_id"), "subject").collect():  # subjects x vocabulary at most
-        if r["key"] in names:
-            seed[r["col"], names.index(r["key"])] = r["n"]
-    common = np.zeros((n, len(LANGUAGES)))
-    lang = F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).otherwise(F.lit("en")).alias("lang")
-    for r in term_sums(vectors.select(lang, F.lit(1.0).alias("weight"), "cols", "counts"), "lang").collect():
-        common[r["col"], LANGUAGES.index(r["key"])] = r["n"]
+    per_doc = label.groupBy("doc_id").agg(F.collect_set("subject").alias("set")).select("doc_id", (1.0 / F.size("set")).alias("weight"), F.explode("set").alias("subject")).where(F.col("subject").isin(*names))
+    if names:
+        sums = _term_sums(vectors.join(per_doc, "doc_id").select(number(names, "subject"), "weight", "cols", "counts")).toPandas().to_numpy()  # subjects x places at most
+        seed[np.searchsorted(places, sums[:, 1].astype(np.int64)), sums[:, 0].astype(int)] = sums[:, 2]
     for r in subjects.select("subject", "description").collect():
         for t, c in (terms(r["description"]) | terms(r["subject"])).items():
-            if t in index and r["subject"] in names:
-                seed[index[t], names.index(r["subject"])] += 0.2 * c
-    # Terms that a subject has no more often than the corpus has are no anchors.
+            at = np.searchsorted(places, _place(t))
+            if at < len(places) and places[at] == _place(t) and r["subject"] in names:
+                seed[at, names.index(r["subject"])] += 0.2 * c
+    if not len(places):
+        places = np.zeros(1, np.int64)
+    # Terms of a single document, and those that a subject has no more often than the corpus has, are no anchors.
+    seed[np.bincount(np.searchsorted(places, common_sums[:, 1].astype(np.int64)), common_sums[:, 3], minlength=n)[:n] < 2] = 0
     block = np.argmax(common / np.maximum(common.sum(0, keepdims=True), 1e-9), axis=1)
     rate = _by_block(seed, block)
     usual = _by_block(common.sum(1, keepdims=True), block)
@@ -198,26 +248,26 @@ def fit_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, vocabu
     least = min(2.0, 1 + 0.2 * k)  # few subjects leave less room above the average
     seed = np.where((lift > least) & (seed >= 0.5), seed * (1 - 0.75 * least / np.maximum(lift, least)), 0)
     scale = common.sum() / max(seed.sum(), 1e-9) * 0.3
-    h = _anchored(np.hstack([seed * scale, common]), k, block)
+    model = Model(places, _anchored(np.hstack([seed * scale, common]), k, block))
     for _ in range(rounds):
-        h = _anchored(_next_h(vectors, h, INNER), k, block)
-    return names, index, h, vectors
+        model = Model(places, _anchored(_next_h(vectors, model, INNER), k, block))
+    return names, model, vectors
 
 
-def subject_mixtures(docs: DataFrame, labels: DataFrame, subjects: DataFrame, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> DataFrame:
+def subject_mixtures(docs: DataFrame, labels: DataFrame, subjects: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, subject, mass, share): the words of each document that each subject explains.
 
     One row for each document and subject with a mass of at least 0.2. Null, empty and blank texts and texts
     without a known term have no row. Labels may be wrong, repeated or missing; without any label the
     descriptions of the subjects are the only anchors.
     """
-    names, _, h, vectors = fit_subjects(docs, labels, subjects, vocabulary, rounds)
-    sent = docs.sparkSession.sparkContext.broadcast(h.astype(np.float32))
+    names, model, vectors = fit_subjects(docs, labels, subjects, rounds)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     k = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, _, _ = _mixtures(batch, sent.value, 2 * INNER)
+            w, _, _ = sent.value.mixtures(batch, 2 * INNER)
             w = w[:, :k]
             share = w / np.maximum(w.sum(1, keepdims=True), 1e-9)
             row, col = np.nonzero(w >= 0.2)
