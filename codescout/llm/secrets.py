@@ -19,20 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_LINES, EPOCHS, RATE, PENALTY = 3600, 5, 0.35, 1e-4
+TRAIN_LINES, EPOCHS, RATE, PENALTY = 4800, 5, 0.35, 1e-4
 CACHE_LINES = 200_000
 REDACTED = "REDACTED"
 
 # --- lexical tokens --------------------------------------------------------------------------------------------------
 
-#: A line without any of these, without a long run of mixed characters and without a value for a secret's name holds no secret.
-_SIGNS = ["pass", "pwd", "secret", "token", "cred", "bearer ", "basic ", "authorization", "auth", "-u ", "dsn", "://", "private key", "_key", "-key", "apikey", "signingkey", "accesskey", "secretkey", "licensekey", "encryptionkey", "masterkey", "key\"", "key'", "key was", "pw\"", "pw'", "pw =", "pw:", "pw=", "pw ", "salt", "session(", "connect(", "login", "kennwort", "contrase", "clave", "密码", "口令"]
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_=.-]{12})[A-Za-z0-9+/_=.-]*[0-9]")
-_NAMED = re.compile(r"(?<!\w)([A-Za-z_][\w-]*+)[\"'`\]]{0,2}[ \t]*(?:=>|[=:])")
-_SPAN_NAME = re.compile(r"token[_ ]?span|tokeniz")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>[\s\S]*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?=[\"'`])|\Z)")
+#: What a line holds that has a literal, a comment, a setting or a flag: a mark before any token that can be labelled, once for each line.
+_HOLDS = re.compile(r"(?:[\"'`#:=]|//|/\*|--?[A-Za-z]|\n[ \t]*\*[ \t])[^\n]*")
+_PEM = re.compile(r"-----BEGIN (?P<label>[A-Z0-9 ]+)-----(?P<body>[\s\S]*?)(?:-----END [A-Z0-9 ]+-----|(?=[\"'`])|\Z)")
 _SEGMENT = re.compile(r"(?P<url>[A-Za-z][\w+.-]*://[^\s:/@\"'`<>]*:)(?P<pass>[^\s@\"'`]+)@|(?P<q>\"\"\"|'''|[\"'`])|(?P<com>//|/\*|#|--\s|^\s*\*\s)|(?P<word>--?[A-Za-z][\w-]*=|[A-Za-z_][\w.-]*|\d[\w.-]*)|(?P<op>:=|=>|[=:(,\[{+])|(?P<rest>\S)")
-_INNER = re.compile(r"(?P<url>[A-Za-z][\w+.-]*://[^\s:/@\"'`<>]*:)(?P<pass>[^\s@\"'`]+)@|(?P<flag>(?:--?)?[A-Za-z][\w-]*=)(?=[^\s=\"'`])|(?P<login>(?<=-u )[\w.-]+:)|(?P<chunk>[^\s\"'`,;()<>{}]+|[<{][^\s<>{}]*(?: [^<>{}]*)?[>}]+)|(?P<mark>[,;()<>{}])")
+_INNER = re.compile(r"(?P<url>[A-Za-z][\w+.-]*://[^\s:/@\"'`<>]*:)(?P<pass>[^\s@\"'`]+)@|(?P<flag>(?:--?)?[A-Za-z][\w-]*=)(?=[^\s=\"'`])|(?P<login>(?<=-u )[\w.-]+:|(?<![\w-])-p(?=[^\s\"'`-][^\s\"'`]{5}))|(?P<chunk>[^\s\"'`,;()<>{}]+|[<{][^\s<>{}]*(?: [^<>{}]*)?[>}]+)|(?P<mark>[,;()<>{}])")
 _QUOTED = {q: re.compile(rf"(?:[^{q}\\]|\\.)*") for q in "\"'`"}
 _TRIPLE = {q: re.compile(rf"[\s\S]*?(?={q}|\Z)") for q in ('"""', "'''")}
 
@@ -58,6 +55,9 @@ def lexical_tokens(line: str) -> list[tuple[int, int, str, str]]:
                 if high_ > low_:
                     out.append((low_, high_, line[low_:high_], kind))
 
+    armour = _PEM.match(line)
+    if armour and armour.end() == n:
+        return [(0, n, armour["label"], "pem")]
     while at < n:
         m = _SEGMENT.search(line, at)
         if m is None:
@@ -100,6 +100,7 @@ _FIXED_FORM = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{12,}$|gh[pousr]_[A-Za-z0-9]{20,
 _TAGGED = re.compile(r"[a-z]{2,5}(?:_(?:pat|live|test|key|sec|tok))?[_.-](?=[A-Za-z0-9]*\d)(?=[A-Za-z0-9]*[A-Z])(?=[A-Za-z0-9]*[a-z])[A-Za-z0-9]{16,}$")
 _PLACEHOLDER = re.compile(r"(?i)[x*.#•_-]{3,}$|<.*>$|\$?\{\{?.*\}\}?$|%\(?\w+\)?s?%?$|\$\w+$|(?:todo|fixme|tbd|none|null|nil|undefined|empty|changeme|change[-_]?me|changed?[-_].*|redacted|masked|hidden|secret|password|passwd|dummy|example|sample|placeholder|insert.*|your[-_ ].*|my[-_ ].*|replace.*|set[-_]?me.*|fill[-_]?me.*|not[-_]?set|n/a|test|foo|bar|string|value|token|default|@.*@|!\w+|vault:.*|env:.*|file:.*|arn:aws:secretsmanager.*|op://.*|ref\+.*)$|.*\*{4,}.*$|.*(?:x{6,}|X{6,}).*$")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
+_ESCAPES = re.compile(r"(?:\\(?:x[0-9a-fA-F]{2}|[0-7]{3}|u[0-9a-fA-F]{4}|.)){4}")
 _HEX = re.compile(r"(?:[0-9a-f]{16,}|[0-9A-F]{16,})$")
 _WORDS_NUMBER = re.compile(r"[A-Za-z]{3,}(?:[-_.][A-Za-z]{2,})+[-_.]?\d{1,4}$")
 _CONSTANT = re.compile(r"_{0,2}[A-Z]+\d{0,3}(?:_[A-Z]+\d{0,4})+$")
@@ -133,6 +134,8 @@ def shape(text: str) -> tuple[str, ...]:
         return ("uuid",)
     if _HEX.match(text):
         return ("hex",)
+    if _ESCAPES.match(text):
+        return ("escapes",)
     if _ADDRESS.match(text):
         return ("address",)
     lower, upper, digit = (any(map(f, text)) for f in (str.islower, str.isupper, str.isdigit))
@@ -144,7 +147,7 @@ def shape(text: str) -> tuple[str, ...]:
         return ("name", size)
     if _WORDS_NUMBER.match(text):
         return ("words and number", size)
-    if _NAME_LIKE.match(text) and not digit:
+    if _NAME_LIKE.match(text.rstrip(".:!?")) and not digit:
         switches = sum(a.islower() != b.islower() for a, b in zip(text, text[1:], strict=False) if a.isalpha() and b.isalpha())
         if not (lower and upper and n >= 16 and switches > 0.45 * n):
             return ("name", size)
@@ -155,9 +158,20 @@ def shape(text: str) -> tuple[str, ...]:
     return (f"other{classes}", size)
 
 
+#: Parts of the names of functions that are given secrets.
+_USES = re.compile(r"(?i)sign|auth|log_?in|connect|session|credential|dial|unlock|decrypt|encrypt")
+
+
+def pem_features(label: str) -> list[str]:
+    """Features of a block in armour, which is one token, by the words of its label."""
+    return ["kind pem", *(f"pem {word}" for word in label.split())]
+
+
 def features(tokens: list[tuple[int, int, str, str]]) -> list[list[str]]:
+    if len(tokens) == 1 and tokens[0][3] == "pem":
+        return [pem_features(tokens[0][2])]
     out = []
-    key, key_class, lead, called = "", "none", "", ""
+    key, key_class, lead, called, callee = "", "none", "", "", ""
     per_literal: dict[int, int] = {}
     for i, (_, _, _, kind) in enumerate(tokens):
         if kind in ("str", "com"):
@@ -179,6 +193,8 @@ def features(tokens: list[tuple[int, int, str, str]]) -> list[list[str]]:
                     if kind == "flag" or named != "plain" or key_class in ("none", "plain"):
                         key, key_class = text, named
                 lead = text if kind == "flag" else ""
+                if follows == "(":
+                    callee = "uses" if _USES.search(text) else "other"
                 called = "env" if _LOOKUP.search(text) else called if kind == "flag" else ""
             elif kind == "login":
                 lead = "login"
@@ -201,6 +217,10 @@ def features(tokens: list[tuple[int, int, str, str]]) -> list[list[str]]:
             row += [f"after {before}", f"after {before} shape {what}"]
         if called:
             row.append(f"call {called}")
+        if callee and kind == "str":
+            row += [f"given to {callee}", f"given to {callee} {alone} shape {what}"]
+        if what == "name" and len(text) < 40:
+            row.append(f"names {name_class(text)} {'-' if '-' in text else '_' if '_' in text else 'one'} key {key_class}")
         if lead:
             row.append(f"flag {name_class(lead) if lead != 'login' else 'login'} shape {what}")
         if i and tokens[i - 1][3] == "op" and tokens[i - 1][2] == "+":
@@ -329,6 +349,7 @@ def training_lines(count: int = TRAIN_LINES, seed: int = 11) -> list[tuple[str,
     plain_names = ["value", "header", "args", "remote", "conn", "hdr", "endpointCfg", "legacy_value", "OPTS_TAIL", "k1", "broker", "target", "VALUE_A", "label", "mode", "title", "description"]
     public_names = ["commit", "checksum", "integrity", "NODE_ID", "requestId", "etag", "build_hash", "digest", "trace_id", "rev", "sha256", "uuid"]
     about_names = ["password_hint", "secretName", "token_field", "PASSWORD_COLUMN", "secret_pattern", "token_url", "password_label", "keyPath", "token_type", "passwordPrompt"]
+    uses = ["sign_request", "signRequest", "connect", "openSession", "login", "authenticate", "auth_client", "dial", "open_session", "createSession"]
     placeholders = ["", "xxxx", "********", "TODO", "<API_KEY>", "<insert password>", "${SECRET}", "{{ vault.token }}", "changed-at-deploy", "changeme", "REDACTED", "<from vault>", "${DB_PASSWORD}", "xxxxxxxxxxxxxxxx", "your-api-key", "example", "not-set", "dummy"]
 
     def assign(name: str, value: str) -> str:
@@ -341,10 +362,17 @@ def training_lines(count: int = TRAIN_LINES, seed: int = 11) -> list[tuple[str,
         if kind < 0.24:
             line = assign(r.choice(secret_names), v)
         elif kind < 0.30:
-            while not (_FIXED_FORM.match(v) or _TAGGED.match(v)):
+            use, form = r.choice(uses), r.random()
+            while form < 0.5 and not (_FIXED_FORM.match(v) or _TAGGED.match(v)):
+                v = _secret_value(r)
+            while form >= 0.5 and (_UUID.match(v) or _HEX.match(v)):
                 v = _secret_value(r)
             secrets = [v]
-            line = r.choice([lambda: assign(r.choice(plain_names), v), lambda: f'sign_request("{word()}", "{v}", {r.randint(1, 999)})', lambda: f"// old key was {v}, remove after the move", lambda: f"# {word()} {v} {word()}"])()
+            line = r.choice([lambda: assign(r.choice(plain_names), v), lambda: f"# {word()} {v} {word()}"] if form < 0.5 else [lambda: f'{use}("{word()}", "{v}", {r.randint(1, 999)});', lambda: f'{use}("{word()}.db.example", "svc_{word()}", "{v}")', lambda: f"// old key was {v}, remove after the move", lambda: f"# the old token was {v}", lambda: f"// {word()} with mysql -u{word()} -p{v.replace('-', 'x').replace(' ', '')}"])()
+            secrets = [v] if v in line else [v.replace("-", "x")]
+        elif kind < 0.31:
+            v = "-----BEGIN " + r.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "]) + "PRIVATE KEY-----"
+            secrets, line = [v], v
         elif kind < 0.40:
             line = r.choice(['h.set("Authorization", "{s} {v}")', 'setHeader("Proxy-Authorization", "{s} {v}");', 'args: "{s} {v}"', '"header": "{s} {v}",', "// send {s} {v}"]).format(s=r.choice(["Bearer", "Bearer", "Basic"]), v=v)
         elif kind < 0.50:
@@ -362,6 +390,14 @@ def training_lines(count: int = TRAIN_LINES, seed: int = 11) -> list[tuple[str,
                 [
                     lambda: assign(r.choice(secret_names), r.choice(placeholders)),
                     lambda: assign(r.choice(secret_names), r.choice(placeholders)),
+                    lambda: assign(r.choice(secret_names), r.choice([f"{word()}_{word()}_token", f"{word()}_key", f"{word()}_secret", f"x-{word()}-token", f"{word()}Token"])),
+                    lambda: f'{r.choice(uses)}("{word()}", "{word()}", {r.choice(secret_names)})',
+                    lambda: f'{r.choice(uses)}("{word()}.db.example", {r.randint(1, 9999)}, "{word()}_{word()}")',
+                    lambda: f'{r.choice([chr(34) * 3, chr(39) * 3, chr(34)])}{word().title()}{r.choice([".", "!", ""])}{r.choice(["", " " + word() + "."])}',
+                    lambda: f"{word()} = {word()}.add(b'" + "".join(f"\\x{r.randint(0, 255):02x}" for _ in range(r.randint(6, 40))) + "')",
+                    lambda: assign(r.choice(plain_names), "".join(word().title() for _ in range(r.randint(2, 5))) + r.choice(["", "Seconds", "Token", "Name", "Url"])),
+                    lambda: f"// {word()} with ssh -p{r.randint(100000, 999999)}",
+                    lambda: r.choice(["-----BEGIN PUBLIC KEY-----", "-----BEGIN RSA PUBLIC KEY-----", "-----BEGIN CERTIFICATE-----", "-----BEGIN CERTIFICATE REQUEST-----"]),
                     lambda: r.choice(['{n} = os.environ["{u}"]', 'String {n} = System.getenv("{u}");', "const {n} = process.env.{u};", '{n} := os.Getenv("{u}")', 'let {n} = env::var("{u}");', "{n} = vault.read(\"{w}/{w}\")"]).format(n=r.choice(secret_names), u=r.choice(secret_names).upper(), w=word()),
                     lambda: assign(r.choice(public_names), r.choice([hexes(40), hexes(64), hexes(32), "-".join(map(hexes, (8, 4, 4, 4, 12))), "sha512-" + v])),
                     lambda: assign(r.choice(about_names), r.choice(["access_token", "user.password", "client_secret", "wrong password or token expired", "enter the api key from your profile", f"https://{word()}.example/oauth/token", "(api|auth)_(key|token)=[A-Za-z0-9]{20,}", "password must have 12 characters"])),
@@ -400,27 +436,14 @@ def trained_field() -> Field:
 
 
 class Finder:
-    """Labels the lines of code that show a sign of a secret."""
+    """Labels the lines of code that hold a literal, a comment, a setting or a flag."""
 
     def __init__(self, field: Field):
-        import ahocorasick
-
         self.field, self.cache = field, {}
-        self.is_secret_name = functools.lru_cache(CACHE_LINES)(lambda name: name_class(name) == "secret")
-        self.signs = ahocorasick.Automaton()
-        for sign in _SIGNS:
-            self.signs.add_word(sign, sign)
-        self.signs.make_automaton()
 
     def candidates(self, code: str) -> list[int]:
-        """Places of signs, in order."""
-        low = code.lower()
-        if len(low) != len(code):  # letters whose lower case is longer
-            low = "".join(c if len(c.lower()) != 1 else c.lower() for c in code)
-        hits = [end - len(sign) + 1 for end, sign in self.signs.iter(low) if sign != "token" or not _SPAN_NAME.match(low, end - 4)]
-        hits += [m.start() for m in _RUN.finditer(code)]
-        hits += [m.start() for m in _NAMED.finditer(code) if self.is_secret_name(m[1])]
-        return sorted(hits)
+        """Places of literals, comments, settings and flags; a line without any has no token that the field could label."""
+        return [m.start() for m in _HOLDS.finditer(code)]
 
     def in_line(self, line: str) -> tuple[tuple[int, int], ...]:
         """Spans of secrets in a (logical) line; equal lines are labelled once."""
@@ -437,8 +460,11 @@ class Finder:
     def in_code(self, code: str) -> list[list[tuple[int, int]]]:
         """Each secret as its parts, as spans of the code."""
         out: list[list[tuple[int, int]]] = []
-        blocks = [m.span() for m in _PEM.finditer(code) if m["body"].strip()] if "PRIVATE KEY" in code else []
-        out += [[b] for b in blocks]
+        blocks = []
+        for m in _PEM.finditer(code) if "-----BEGIN " in code else ():
+            blocks.append(m.span())
+            if m["body"].strip(" \\rn\n-") and self.field.viterbi([pem_features(m["label"])])[0]:
+                out.append([m.span()])
         done = 0
         for place in self.candidates(code):
             if place < done:

@@ -514,12 +514,14 @@ def test_find_secrets(spark):
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
-def test_signs_follow_the_names_of_secrets():
+def test_lines_without_words_of_secrets():
     finder = secrets.Finder(secrets.trained_field())
-    for line in ('hmacKey = "correct-horse-battery"', '"key": "correct-horse-battery"', "pin: correct-horse-battery", "--pin=correct-horse"):
-        assert finder.candidates(line), line
-    assert finder.in_code('hmacKey = "correct-horse-battery"') == [[(11, 32)]]
-    assert not finder.candidates("rows = items(key_size)")
+    found = lambda code: [code[a:b] for parts in finder.in_code(code) for a, b in parts]
+    assert found('hmacKey = "correct-horse-battery"') == ["correct-horse-battery"]
+    assert found('connect("db.example", "svc_a", "qwGlmmWo3nAFEi")') == ["qwGlmmWo3nAFEi"]
+    assert found("# dump with mysql -uroot -pS3cretPw9x1") == ["S3cretPw9x1"]
+    for code in ('token = "next_page_token"', '"""Inherited."""', "rows = items(key_size)", 'k = "-----BEGIN PUBLIC KEY-----\\nAb3\\n-----END PUBLIC KEY-----"', "# ssh -p222222"):
+        assert not found(code), code
 
 
 # --- problem 5 -------------------------------------------------------------------------------------------------------
