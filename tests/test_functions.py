@@ -54,12 +54,25 @@ def test_ignore_rules(spark):
 
 
 def test_questions(spark):
-    for text, kind in (("Where is the parser?", "locate"), ("Why does it crash", "debug"), ("How to add a rule", "howto"), ("give an overview", "overview"), ("the parser", "understand")):
+    classes = (("Where is the payment handler defined?", "locate"), ("Explain the authentication flow", "understand"), ("How to implement a new endpoint?", "howto"), ("There's a bug in the login function", "debug"), ("Give me an overview of the architecture", "overview"), ("the prefix of it", "debug"))
+    for text, kind in classes:
         assert one(spark, q.classify(F.col("t")), t=text) == kind
-    assert one(spark, q.keywords(F.col("t")), t="How does the parse_file parse the file?") == ["parse_file", "parse", "file"]
-    simple, hard = "parser", "How do the index and the graph interact across threads, and what is the architecture of the database schema?"
-    assert one(spark, q.complexity(F.col("t")), t=simple) < one(spark, q.complexity(F.col("t")), t=hard) <= 100
-    assert one(spark, q.entity(F.col("t")), t="what does load_all() do") == "load_all"
+    assert one(spark, q.keywords(F.col("t")), t="How does the parse_file parse the file? é x 漢") == ["parse_file", "parse", "file", "é", "漢"]
+    assert one(spark, q.code_keywords(F.col("t")), t="Show the parser of a Class and its method, parser") == ["class", "method", "show", "parser", "its", "parser"]
+    hard = "How do the authentication and authorization modules interact with the database layer and what design patterns are used?"
+    assert one(spark, q.complexity(F.col("t")), t="where is main?") == 15
+    assert one(spark, q.complexity(F.col("t")), t=hard) == 30 + 20 + 10 + 15 + 5
+    assert one(spark, q.complexity(F.col("t")), t="the handler") == 20  # "and" lies within "handler"
+    assert one(spark, q.intent(F.col("t")), t="why not fix the bug") == "debug"
+    assert one(spark, q.entity(F.col("t")), t='what does function named "Load_All" do').asDict() == {"type": "function", "name": "load_all"}
+    assert one(spark, q.entity(F.col("t")), t="nothing here") is None
+    assert one(spark, q.expand_question(F.col("t")), t="Error in Auth") == ["error", "exception", "bug", "issue", "in", "authentication", "authorization", "auth", "login"]
+    assert one(spark, q.parts(F.col("t")), t="one two three four five six seven, and the eighth of them all or nothing") == ["one two three four five six seven,", "the eighth of them all"]
+    for text, language in (("sort it in golang please", "go"), ("django views", None), ("using typescript", "typescript"), ("python implements it", "python")):
+        assert one(spark, q.language_filter(F.col("t")), t=text) == language
+    assert one(spark, q.file_filter(F.col("t")), t="open A.PY and b.go") == ".py"
+    assert one(spark, q.wants_rewriting(F.col("t")), t="this is a plain sentence of eight words") is False
+    assert one(spark, q.about_code(F.col("t")), t="which module is it") is True
     reply = 'text ```json\n{"confidence": 60}\n``` more'
     assert one(spark, q.first_json(F.col("t"), "confidence int", F.lit(None))["confidence"], t=reply) == 60
     assert one(spark, q.first_json(F.col("t"), "confidence int", F.from_json(F.lit('{"confidence": 90}'), "confidence int"))["confidence"], t="none") == 90
