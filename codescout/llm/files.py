@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -144,12 +145,14 @@ def own_reason(language: str | None, relative: str, text: str | None) -> str | N
     return found if found and problem(language, text) is None else None
 
 
-def file_leaves(files: DataFrame) -> DataFrame:
+def file_leaves(files: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
     """(repo_name, path, relative_path, reason, leaf, n_lines, lines, is_code): one row for each input row, without its content.
 
     reason: see own_reason(). leaf is the hash of the content, the sum of the hashes of its lines; lines are
-    these hashes, each once. Null and empty contents have no lines. No shuffle.
+    these hashes, each once, and n_lines their number; of the lines only those among `wanted` (in order) are given,
+    if it is. Null and empty contents have no lines. No shuffle.
     """
+    sent = files.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,8 +163,11 @@ def file_leaves(files: DataFrame) -> DataFrame:
             code = [lang is not None and lang not in ("json", "yaml", "toml", "markdown", "text") and bool(t and t.strip()) for lang, t in zip(languages, texts, strict=True)]
             lines = [line_hashes(t) if is_code else [] for t, is_code in zip(texts, code, strict=True)]
             leaves = [(sum(x) if x else xxhash.xxh3_64_intdigest(t or "")) % (1 << 64) - (1 << 63) for x, t in zip(lines, texts, strict=True)]
+            n_lines = pa.array(map(len, lines), pa.int32())
+            if sent is not None:
+                lines = _among(lines, sent.value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(rels, pa.string()), pa.array(marks, pa.string()), pa.array(leaves, pa.int64()), pa.array(map(len, lines), pa.int32()), pa.array(lines, pa.list_(pa.int64())), pa.array(code, pa.bool_())],
+                [batch.column(0), batch.column(1), pa.array(rels, pa.string()), pa.array(marks, pa.string()), pa.array(leaves, pa.int64()), n_lines, pa.array(lines, pa.list_(pa.int64())), pa.array(code, pa.bool_())],
                 names=["repo_name", "path", "relative_path", "reason", "leaf", "n_lines", "lines", "is_code"],
             )
 
@@ -169,6 +175,16 @@ def file_leaves(files: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "repo_name string, path string, relative_path string, reason string, leaf long, n_lines int, lines array<long>, is_code boolean")
 
 
+def _among(lines: list[list[int]], wanted: np.ndarray) -> list[list[int]]:
+    """The lines of each file that are wanted."""
+    flat = np.fromiter((x for file in lines for x in file), np.int64)
+    if not len(wanted) or not len(flat):
+        return [[] for _ in lines]
+    kept = wanted[np.minimum(np.searchsorted(wanted, flat), len(wanted) - 1)] == flat
+    ends = np.cumsum([len(file) for file in lines])
+    return [flat[a:b][kept[a:b]].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def merkle_tree(leaves: DataFrame) -> DataFrame:
     """(family, repo_name, dir, hash, n_files): the Merkle hash of each directory from (family, repo_name, relative_path, leaf).
 
@@ -205,19 +221,24 @@ def _family(name: str = "repo_name") -> Column:
     return F.coalesce(F.split(name, "-").getItem(0), F.lit(""))
 
 
-def third_party(leaves: DataFrame, with_lines: DataFrame, libraries: DataFrame) -> DataFrame:
+def library_leaves(libraries: DataFrame) -> DataFrame:
+    """(family, repo_name, relative_path, leaf, n_lines, lines) of the code files of the known third-party libraries, each a family."""
+    name = F.coalesce("lib_name", F.lit("")).alias("repo_name")
+    leaves = file_leaves(libraries.select(name, F.coalesce("file_name", F.lit("")).alias("path"), F.coalesce("file_name", F.lit("")).alias("relative_path"), "content"))
+    return leaves.where("is_code").select(F.concat(F.lit("library "), "repo_name").alias("family"), "repo_name", "relative_path", "leaf", "n_lines", "lines")
+
+
+def third_party(leaves: DataFrame, with_lines: DataFrame, library: DataFrame) -> DataFrame:
     """(path, reason) of the code files that hashes show to be copies: each path once.
 
-    leaves: one row for each path of file_leaves(); with_lines: its rows with their lines, which may repeat.
+    leaves: one row for each path of file_leaves(); with_lines: its rows with their lines, which may repeat;
+    library: see library_leaves().
 
     subtree: below a directory of at least two files that unrelated repositories share; leaf: the same lines as
     a file of an unrelated repository or of a library; lines: four fifths of the lines of such a file and half
     of its own, in any order; root: below a directory whose name is that of a root of vendored code.
     """
     code = leaves.where("is_code and relative_path is not null").select(_family().alias("family"), "repo_name", "path", "relative_path", "leaf", "n_lines")
-    lib_id = F.coalesce("lib_name", F.lit("")).alias("name")
-    library = file_leaves(libraries.select(lib_id.alias("repo_name"), F.coalesce("file_name", F.lit("")).alias("path"), F.coalesce("file_name", F.lit("")).alias("relative_path"), "content"))
-    library = cut(library.select(F.concat(F.lit("library "), "repo_name").alias("family"), "repo_name", "relative_path", "leaf", "n_lines", "lines", "is_code").where("is_code"))
     columns = ["family", "repo_name", "relative_path", "leaf"]
     below_root = library.withColumn("relative_path", F.concat_ws("/", "repo_name", "relative_path"))
     tree = merkle_tree(code.select(columns).unionByName(below_root.select(columns))).where("n_files >= 2 and dir <> ''")
@@ -255,11 +276,15 @@ def not_hand_written(files: DataFrame, libraries: DataFrame) -> DataFrame:
     under which too few copies lie to show it); those of own_reason(). Null and empty contents, files that are
     not valid in their language, prose and settings (but lock files) have none.
     """
-    with_lines = cut(file_leaves(files))
+    library = cut(library_leaves(libraries))
+    lines = library.select(F.explode("lines").alias("line")).distinct()
+    few = lines.count() <= BROADCAST_ROWS  # a fixed table; lines that no library has need not leave the files then
+    wanted = np.sort(np.array([r["line"] for r in lines.collect()], np.int64)) if few else None
+    with_lines = cut(file_leaves(files, wanted))
     leaves = cut(with_lines.drop("lines").dropDuplicates(["path"]))
     kept_aside = F.exists(F.slice(F.split("relative_path", "/"), 1, F.greatest(F.size(F.split("relative_path", "/")) - 1, F.lit(0))), lambda x: F.lower(x).isin(*sorted(VENDOR_DIRS)))
     by_name = leaves.where(F.col("is_code") & kept_aside).select("path", F.lit("vendored").alias("reason"))
-    by_hash = third_party(leaves, with_lines, libraries)
+    by_hash = third_party(leaves, with_lines, library)
     both = by_hash.withColumn("nth", F.lit(0)).unionByName(by_name.withColumn("nth", F.lit(1))).groupBy("path").agg(F.min_by("reason", "nth").alias("reason"))
     candidates = cut(both.join(leaves.where("reason is not null").select("path"), "path", "left_anti"))
     # Files with a reason of their own are known to be valid; the candidates are looked at where they lie.
