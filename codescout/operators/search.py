@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codescout.functions.patterns import basename, glob_match
+from codescout.functions.patterns import glob_match
 
-#: Directories that a text search leaves out, besides those that begin with a dot.
-SKIPPED = ["node_modules", "vendor", "dist", "build", "target", "__pycache__", "venv", "env", "coverage", "out", "bin", "obj"]
+# Directories that a text search leaves out, besides those that begin with a dot.
+SKIPPED = [".git", "node_modules", "__pycache__", "dist", "build", "venv", "coverage", ".claude", ".kilocode", ".agent", ".agents", ".claude-flow"]
 
 
 def searchable(path: Column) -> Column:
-    """Whether no component of the path is skipped or hidden."""
+    """Whether no directory of the path is skipped, and no component hidden."""
     parts = F.split(path, "/")
-    return ~F.exists(parts, lambda p: p.isin(*SKIPPED) | p.startswith("."))
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return ~F.exists(parts, lambda p: p.startswith(".")) & ~F.exists(folders, lambda p: p.isin(*SKIPPED))
 
 
 def grep(files: DataFrame, pattern: str, glob: str | None = None, limit: int | None = 30, literal: bool = False) -> DataFrame:
@@ -47,17 +48,49 @@ def list_files(files: DataFrame, part: str) -> DataFrame:
     return files.where(F.lower("relative_path").contains(part.lower())).select("repo_name", "relative_path").distinct()
 
 
-def elements_of_file(elements: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Elements whose path equals a wanted path, or where one is a suffix of the other.
+def matching_paths(paths: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(relative_path, wanted_path): distinct paths that equal a wanted path, end in it, or are its end.
 
-    Instead of comparing all pairs, every suffix of a path that begins at a character is not formed either: the
-    two sides meet on their file name, and the suffix test runs only there; a wanted path that is shorter than a
-    file name is tested against names by that rule as well.
+    paths: (relative_path), wanted: (path). All pairs are found without comparing all: the ends of a path that are
+    as long as some path of the other side (a few hundred lengths at most) meet that side in an equi-join.
+    Null paths match nothing; an empty path is the end of every path.
     """
-    left = elements.withColumn("__name", basename(F.col("relative_path")))
-    right = wanted.select(F.col("path").alias("wanted_path"), basename(F.col("path")).alias("__name"))
-    both = left.join(right, "__name")
-    return both.where(F.col("relative_path").endswith(F.col("wanted_path")) | F.col("wanted_path").endswith(F.col("relative_path"))).drop("__name")
+    mine = paths.select(F.col("relative_path").alias("p")).where("p is not null").distinct()
+    asked = wanted.select(F.col("path").alias("w")).where("w is not null").distinct()
+
+    def ends(df: DataFrame, text: str, other: DataFrame, other_text: str) -> DataFrame:
+        lengths = F.broadcast(other.agg(F.collect_set(F.length(other_text)).alias("lengths")))  # one row
+        longer = F.filter("lengths", lambda n: n <= F.length(text))
+        return df.crossJoin(lengths).select(text, F.explode(longer).alias("n")).select(text, F.when(F.col("n") == 0, "").otherwise(F.expr(f"right({text}, n)")).alias("end"))
+
+    mine_ends = ends(mine, "p", asked, "w").join(asked, F.col("end") == F.col("w")).select("p", "w")
+    asked_ends = ends(asked, "w", mine, "p").join(mine, F.col("end") == F.col("p")).select("p", "w")
+    return mine_ends.unionByName(asked_ends).distinct().select(F.col("p").alias("relative_path"), F.col("w").alias("wanted_path"))
+
+
+def elements_of_file(elements: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Elements with each wanted path (path) that equals theirs, ends in it, or is its end; see matching_paths()."""
+    return elements.join(matching_paths(elements, wanted), "relative_path")
+
+
+def browse(elements: DataFrame, path: str) -> DataFrame:
+    """The file elements whose path equals or ends in the path, with their code."""
+    return elements.where((F.col("type") == "file") & F.col("relative_path").endswith(path))
+
+
+def elements_with_matches(elements: DataFrame, files: DataFrame, pattern: str, glob: str | None = None, limit: int | None = 30) -> DataFrame:
+    """The elements of the files in which a pattern is found (see grep()); other repositories' files of that path count as well."""
+    found = grep(files, pattern, glob, limit).select(F.col("relative_path").alias("path")).distinct()
+    return elements_of_file(elements, found).drop("wanted_path").distinct()
+
+
+# What makes a search term a pattern.
+_PATTERN_MARKS = r"[\\^$.|?*+()\[\]{}]"
+
+
+def is_pattern(term: Column) -> Column:
+    """Whether a search term must be read as a regular expression: it has a mark of one, beside single dots."""
+    return F.regexp_replace(term, r"(?<=\w)\.(?=\w)", "").rlike(_PATTERN_MARKS)
 
 
 def skim(elements: DataFrame, path: str) -> DataFrame:

@@ -156,6 +156,17 @@ def elements_of_file(s, d):
     return se.elements_of_file(e, longest.select("path").distinct()).select("id", F.col("wanted_path").alias("path")).distinct()
 
 
+def browse_file(s, d):
+    """The file elements of a path's end, with the hash of their code."""
+    return se.browse(read_table(s, d, "code_elements"), ".rs").select("id", F.md5("code").alias("code_md5")).distinct()
+
+
+def elements_with_matches(s, d):
+    """The elements of the files in which a pattern is found."""
+    e = _elements(s, d, "id", "relative_path")
+    return se.elements_with_matches(e, _files(s, d), r"def flush_\w+", limit=None).select("id").distinct()
+
+
 def skim_elements(s, d):
     e = read_table(s, d, "code_elements").select("id", "type", "name", "relative_path", "start_line", "end_line", "code").distinct()
     return se.skim(e, ".py").select("id", "name", "start_line", "end_line").distinct()
@@ -276,8 +287,7 @@ def selected_files_boosted(s, d):
     return hy.merge_selected(scored, chosen).select("id", F.round("score", 6).alias("score"))
 
 
-_SKIP = ", ".join(f"'{x}'" for x in se.SKIPPED)
-_SEARCHABLE = f"len(list_filter(string_split(relative_path, '/'), lambda p: p IN ({_SKIP}) OR starts_with(p, '.'))) = 0"
+_SEARCHABLE = "len(list_filter(string_split(relative_path, '/'), lambda p: starts_with(p, '.'))) = 0 AND len(list_filter(string_split(relative_path, '/')[:-2], lambda p: p IN ('.git', 'node_modules', '__pycache__', 'dist', 'build', 'venv', 'coverage', '.claude', '.kilocode', '.agent', '.agents', '.claude-flow'))) = 0"
 
 
 def _any(rules: list[str], column: str = "relative_path") -> str:
@@ -325,12 +335,14 @@ QUERIES = {
     "grep_regex": (grep_regex, f"SELECT DISTINCT repo_name, relative_path, len(regexp_extract_all(content, '(?i)return [a-z_]+;'))::INT AS matches FROM source_files WHERE {_SEARCHABLE} AND len(regexp_extract_all(content, '(?i)return [a-z_]+;')) > 0"),
     "grep_literal": (grep_literal, f"SELECT DISTINCT repo_name, relative_path, len(regexp_extract_all(content, '(?i)sorted\\('))::INT AS matches FROM source_files WHERE {_SEARCHABLE} AND len(regexp_extract_all(content, '(?i)sorted\\(')) > 0"),
     "grep_glob_top": (grep_glob_top, f"SELECT DISTINCT repo_name, relative_path, len(regexp_extract_all(content, '(?i)def \\w+'))::INT AS matches FROM source_files WHERE {_SEARCHABLE} AND {_glob_sql('src/*.py')} AND len(regexp_extract_all(content, '(?i)def \\w+')) > 0 ORDER BY relative_path, repo_name LIMIT 30"),
-    "grep_lines": (grep_lines, "WITH l AS (SELECT DISTINCT repo_name, relative_path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no FROM source_files), h AS (SELECT repo_name, relative_path, line_no, substring(line, 1, 200) AS line FROM l WHERE regexp_matches(substring(line, 1, 200), '(?i)lambda ')) SELECT repo_name, relative_path, line_no::INT AS line_no, md5(line) AS line_md5 FROM (SELECT *, row_number() OVER (PARTITION BY repo_name, relative_path ORDER BY line_no) AS k FROM h) WHERE k <= 20"),
+    "grep_lines": (grep_lines, "WITH l AS (SELECT DISTINCT repo_name, relative_path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no FROM source_files), h AS (SELECT repo_name, relative_path, line_no, substring(line, 1, 200) AS line FROM l WHERE regexp_matches(line, '(?i)lambda ')) SELECT repo_name, relative_path, line_no::INT AS line_no, md5(line) AS line_md5 FROM (SELECT *, row_number() OVER (PARTITION BY repo_name, relative_path ORDER BY line_no) AS k FROM h) WHERE k <= 20"),
     "glob_files": (glob_files, f"SELECT DISTINCT repo_name, relative_path FROM source_files WHERE {_glob_sql('core/**/*.go')}"),
     "ignore_rules": (ignore_rules, f"SELECT DISTINCT repo_name, relative_path FROM source_files WHERE {_ignored_sql()}"),
     "list_directory": (list_directory, "WITH p AS (SELECT DISTINCT repo_name, string_split(substring(relative_path, 5), '/') AS p FROM source_files WHERE starts_with(relative_path, 'src/')) SELECT repo_name, p[1] AS name, CASE WHEN len(p) > 1 THEN 'directory' ELSE 'file' END AS kind, count(*) AS n_files FROM (SELECT DISTINCT * FROM p) WHERE NOT starts_with(p[1], '.') GROUP BY 1, 2, 3"),
     "list_files": (list_files, "SELECT DISTINCT repo_name, relative_path FROM source_files WHERE contains(lower(relative_path), 'token_span')"),
-    "elements_of_file": (elements_of_file, f"WITH {_E}, w AS (SELECT DISTINCT path FROM (SELECT relative_path AS path, row_number() OVER (PARTITION BY repo_name ORDER BY coalesce(length(code), 0) DESC, relative_path) AS k FROM e WHERE type = 'file') WHERE k = 1) SELECT DISTINCT id, path FROM e JOIN w ON regexp_extract(relative_path, '[^/]*$') = regexp_extract(path, '[^/]*$') WHERE ends_with(relative_path, path) OR ends_with(path, relative_path)"),
+    "elements_of_file": (elements_of_file, f"WITH {_E}, w AS (SELECT DISTINCT path FROM (SELECT relative_path AS path, row_number() OVER (PARTITION BY repo_name ORDER BY coalesce(length(code), 0) DESC, relative_path) AS k FROM e WHERE type = 'file') WHERE k = 1) SELECT DISTINCT id, path FROM e JOIN w ON ends_with(relative_path, path) OR ends_with(path, relative_path)"),
+    "browse_file": (browse_file, f"WITH {_E} SELECT id, md5(code) AS code_md5 FROM e WHERE type = 'file' AND ends_with(relative_path, '.rs')"),
+    "elements_with_matches": (elements_with_matches, f"WITH {_E}, g AS (SELECT DISTINCT relative_path AS path FROM source_files WHERE {_SEARCHABLE} AND regexp_matches(content, '(?i)def flush_\\w+')) SELECT DISTINCT id FROM e JOIN g ON ends_with(relative_path, path) OR ends_with(path, relative_path)"),
     "skim_elements": (skim_elements, f"WITH {_E} SELECT id, name, start_line, end_line FROM e WHERE type IN ('class', 'function') AND ends_with(relative_path, '.py')"),
     "file_lines": (file_lines, f"WITH {_F}, l AS (SELECT path, content, string_split(content, chr(10)) AS x FROM f WHERE content IS NOT NULL) SELECT path, CASE WHEN content = '' THEN 0 WHEN right(content, 1) = chr(10) THEN len(x) - 1 ELSE len(x) END::INT AS lines, len(list_filter(x, lambda y: regexp_matches(trim(y), '{_MARK}')))::INT AS comments, len(list_filter(x, lambda y: trim(y) <> '' AND NOT regexp_matches(trim(y), '{_MARK}')))::INT AS code_rows FROM l"),
     "keyword_complexity": (keyword_complexity, f"WITH {_E} SELECT id, (1 + " + " + ".join(f"len(regexp_extract_all(code, '\\b{w}\\b'))" for w in tx.BRANCH_WORDS) + ")::INT AS complexity FROM e WHERE type = 'function' AND code IS NOT NULL"),
