@@ -87,10 +87,14 @@ def clean_docstring(doc: Column) -> Column:
 def word_windows(text: Column, size: int = 1000, overlap: int = 200) -> Column:
     """Windows of `size` words, each `overlap` words into the one before; stops once a window reaches the end."""
     words = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    n = F.size(words)
     step = size - overlap
-    last = F.greatest(F.ceil((n - size) / F.lit(float(step))), F.lit(0)).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("chunk"), F.array_join(F.slice(words, i * step + 1, F.lit(size)), " ").alias("text"))))
+
+    def windows(w: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(w) - size) / F.lit(float(step))), F.lit(0)).cast("int")
+        return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("chunk"), F.array_join(F.slice(w, i * step + 1, F.lit(size)), " ").alias("text"))))
+
+    # The words are split once: within the lambda they are a variable, not the expression.
+    return F.transform(F.array(words), windows)[0]
 
 
 #: The language of each extension.

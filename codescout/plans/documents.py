@@ -9,6 +9,7 @@ from codescout.functions import text as tx
 from codescout.operators import hybrid as hy
 from codescout.operators import textindex as ti
 from codescout.operators import vectors as ve
+from codescout.session import shared_folder
 from codescout.sources.tables import read_table
 
 QUESTION = "how does the tournament referee count the stadium tickets"
@@ -42,6 +43,18 @@ def _query_vector(s, d):
     return read_table(s, d, "embeddings").orderBy("vec_id").limit(1).select(F.col("embedding").alias("vec"))
 
 
+def _index(s, d):
+    """The stored index of the documents; built by the first query of the session that asks for it."""
+    return ti.stored_index(_docs(s, d).select("doc_id", "text"), "documents")
+
+
+def index_build(s, d):
+    """The stored index, built anew: its postings summed up by term."""
+    built = ti.build_index(_docs(s, d).select("doc_id", "text"), f"{shared_folder(s)}/index-{s.sparkContext.applicationId}-new")
+    terms = s.read.parquet(f"{built.path}/terms")
+    return s.read.parquet(f"{built.path}/postings").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("len").alias("len")).join(terms.select("term", "df", F.round("idf", 6).alias("idf")), "term")
+
+
 def tokenize_counts(s, d):
     return ti.term_frequencies(_docs(s, d), "doc_id", "text")
 
@@ -56,12 +69,12 @@ def corpus_stats(s, d):
 
 
 def bm25_topk(s, d):
-    return ti.top_k(ti.bm25(_docs(s, d), QUESTION), 20)
+    return ti.top_k(_index(s, d).search(QUESTION), 20)
 
 
 def bm25_topk_of_source(s, d):
     """Global weights, then the rows of one source (the largest)."""
-    scored = ti.bm25(_docs(s, d), QUESTION)
+    scored = _index(s, d).search(QUESTION)
     source = _docs(s, d).where("source is not null").groupBy("source").count().orderBy(F.desc("count"), "source").limit(1).select("source")
     mine = _docs(s, d).join(F.broadcast(source), "source", "left_semi").select(F.col("doc_id").alias("id"))
     return ti.top_k(scored.join(mine, "id"), 20)
@@ -114,7 +127,7 @@ def _kinds(s, d):
 
 
 def _pools(s, d):
-    keyword = ti.bm25(_docs(s, d), QUESTION).orderBy(F.desc(F.round("score", 9)), "id").limit(hy.KEYWORD_POOL)
+    keyword = _index(s, d).search(QUESTION).orderBy(F.desc(F.round("score", 9)), "id").limit(hy.KEYWORD_POOL)
     vector = ve.cosine_search(read_table(s, d, "embeddings"), _query_vector(s, d)).orderBy(F.desc(F.round("score", 9)), "id").limit(20)
     return keyword, vector
 
@@ -145,7 +158,7 @@ def diversified_search(s, d):
 
 def select_sources(s, d):
     """Sources as repositories: the mean similarity and the summed keyword score of their documents, blended."""
-    keyword = ti.bm25(_docs(s, d), QUESTION).join(_kinds(s, d), "id").groupBy("source").agg(F.sum("score").alias("score"))
+    keyword = _index(s, d).search(QUESTION).join(_kinds(s, d), "id").groupBy("source").agg(F.sum("score").alias("score"))
     sim = ve.cosine_search(read_table(s, d, "embeddings"), _query_vector(s, d)).join(_kinds(s, d), "id").groupBy("source").agg(F.max("score").alias("score"))
     out = hy.select_repositories(sim.withColumnRenamed("source", "id"), keyword.withColumnRenamed("source", "id"), 5)
     return out.select("id", *(F.round(c, 6).alias(c) for c in ("semantic", "keyword", "total")))
@@ -212,6 +225,7 @@ def session_deltas(s, d):
 
 QUERIES = {
     "tokenize_counts": (tokenize_counts, f"SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_WORDS}) AS term FROM documents) GROUP BY id, term"),
+    "index_build": (index_build, f"WITH {_bm25_sql()} SELECT tf.term, sum(tf)::BIGINT AS tf, sum(dl)::BIGINT AS len, any_value(df) AS df, round(any_value(idf), 6) AS idf FROM tf JOIN w USING (term) JOIN dfs USING (term) GROUP BY tf.term"),
     "term_idf": (term_idf, f"WITH {_bm25_sql()} SELECT w.term, df, round(idf, 6) AS idf FROM w JOIN raw USING (term)"),
     "corpus_stats": (corpus_stats, f"SELECT count(*) AS n, round(sum(len({_WORDS})) / count(*), 6) AS avgdl FROM documents"),
     "bm25_topk": (bm25_topk, f"WITH {_bm25_sql()} SELECT id, round(score, 6) AS score FROM scored ORDER BY 2 DESC, 1 LIMIT 20"),
