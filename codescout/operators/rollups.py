@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codescout.functions.text import extension
+from codescout.session import cut
 
 
 def ancestors(files: DataFrame) -> DataFrame:
@@ -52,3 +53,21 @@ def history(turns: DataFrame, last: int, session: str, turn: str) -> DataFrame:
 def alive(entries: DataFrame, time_col: str, now: Column, ttl_seconds: int) -> DataFrame:
     """Entries younger than the time to live at `now`."""
     return entries.where(F.col(time_col) > now - F.expr(f"INTERVAL {ttl_seconds} SECONDS"))
+
+
+def gains(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """The rows with gain: their value less that of the row before them of the same key in this order; null for the first of a key.
+
+    A key may hold most of the rows: they are sorted by range over all tasks, so a key is spread over several of
+    them; each compares its own neighbours, and the first row of a key in a task is compared with the last one of
+    the tasks before, of which there is one row for each task and key in it. Rows with a null key are left out.
+    """
+    columns = rows.columns
+    sorted_rows = rows.where(F.col(key).isNotNull()).repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    placed = cut(sorted_rows.withColumn("__part", F.spark_partition_id()))
+    here = Window.partitionBy("__part", key).orderBy(*order)
+    inside = placed.withColumn("__before", F.lag(value).over(here)).withColumn("__nth", F.row_number().over(here))
+    last = placed.groupBy("__part", key).agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    carried = last.withColumn("__carried", F.lag("__last").over(Window.partitionBy(key).orderBy("__part"))).select("__part", F.col(key).alias("__key"), "__carried")
+    both = inside.join(carried, (inside["__part"] == carried["__part"]) & (F.col(key) == F.col("__key")) & (F.col("__nth") == 1), "left")
+    return both.select(*columns, (F.col(value) - F.coalesce("__before", "__carried")).alias("gain"))

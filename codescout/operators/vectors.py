@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codescout.functions.text import tokens
 
-BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2_000
+#: Queries that are sent around at once.
+BLOCK_QUERIES = 10_000
 
 
 def _double(v: Column) -> Column:
@@ -49,38 +51,61 @@ def cosine_search(vectors: DataFrame, query: DataFrame, id_col: str = "vec_id",
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): the k most similar vectors of each query, exactly, by cosine.
 
-    Vectors and queries are dealt into blocks of bounded size; each pair of blocks is one matrix product in
-    one task, which keeps k rows for each query. Ties go to the smaller id. Null, empty and zero vectors,
-    and vectors of another length than the query's, have the similarity 0 and are left out.
+    Vectors stay where they lie: a block of at most `BLOCK_QUERIES` queries is sent to all tasks, each of which keeps
+    the best k of its own vectors for each query; only these are shuffled. More queries take one more pass for
+    each block. Ties go to the smaller id. Null, empty and zero vectors, and vectors of another length than the
+    query's, have the similarity 0 and are left out.
     """
-    rows, asked = vectors.count(), queries.count()
-    row_blocks, query_blocks = max(1, math.ceil(rows / BLOCK_ROWS)), max(1, math.ceil(asked / BLOCK_QUERIES))
-    deal = lambda df, n: F.pmod(F.xxhash64(id_col), F.lit(n))
-    left = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), deal(vectors, row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    right = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), deal(queries, query_blocks).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))).alias("rb"))
-
-    def product(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        have, want = (x[[v is not None and len(v) > 0 for v in x["vec"]]] for x in (have, want))
-        for size, asked_rows in want.groupby(want["vec"].map(len)):
-            known = have[have["vec"].map(len) == size]
-            if not len(known):
-                continue
-            a, b = (np.stack(x["vec"].to_numpy()).astype(np.float64) for x in (asked_rows, known))
-            norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-            score = np.divide(a @ b.T, norms, out=np.zeros(norms.shape), where=norms > 0).round(6)
-            ids = known["id"].to_numpy()
-            for i, query_id in enumerate(asked_rows["id"].to_numpy()):
-                best = np.lexsort((ids, -score[i]))[:k]
-                best = best[score[i][best] > 0]
-                parts.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "score": score[i][best]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "id": [], "score": []})
-
-    near = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(product, "query_id long, id long, score double")
+    spark = vectors.sparkSession
+    blocks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
+    asked = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
+    have = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    parts = []
+    for block in range(blocks):
+        rows = [(r["id"], r["vec"]) for r in asked.where(F.col("block") == block).collect() if r["vec"]]  # about BLOCK_QUERIES
+        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in {len(v) for _, v in rows}:
+            same = [(i, v) for i, v in rows if len(v) == size]
+            by_size[size] = np.array([i for i, _ in same], np.int64), _unit(np.array([v for _, v in same], np.float64))
+        sent = spark.sparkContext.broadcast(by_size)
+        parts.append(have.mapInArrow(_nearest(sent, k), "query_id long, id long, score double"))
+    near = reduce(DataFrame.unionByName, parts)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+
+
+def _nearest(sent, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            lengths = np.diff(column.offsets.to_numpy()) * np.asarray(column.is_valid())
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            out: list[tuple[np.ndarray, ...]] = []
+            for size, (query_ids, queries) in sent.value.items():
+                at = np.flatnonzero(lengths == size)
+                if not len(at):
+                    continue
+                known = _unit(column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size))
+                own = ids[at]
+                for low in range(0, len(queries), 256):
+                    score = (queries[low : low + 256] @ known.T).round(6)
+                    if len(at) > k:  # the k best, and all that are as good as the last of them
+                        least = np.partition(score, -k, axis=1)[:, -k][:, None]
+                        row, col = np.nonzero((score >= least) & (score > 0))
+                    else:
+                        row, col = np.nonzero(score > 0)
+                    out.append((query_ids[low + row], own[col], score[row, col]))
+            columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.array([], np.int64), np.array([], np.int64), np.array([])]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "id", "score"])
+
+    return run
+
+
 def hashing_embedding(text: Column, size: int = 64) -> Column:
     """A deterministic stand-in for an embedding model: signed counts of hashed tokens."""
     hashed = F.transform(tokens(text), lambda t: F.xxhash64(t))

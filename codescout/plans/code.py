@@ -216,6 +216,12 @@ def last_definitions(s, d):
     return rs.last_definition(_elements(s, d, "id", "type", "name"), "function")
 
 
+def fuzzy_elements(s, d):
+    """The names of functions and classes that are close to a wanted name."""
+    names = read_table(s, d, "code_elements").where("type in ('class', 'function')").select("name").distinct()
+    return rs.fuzzy_names(names, "resolve region map")
+
+
 def fuzzy_repositories(s, d):
     return rs.fuzzy_names(read_table(s, d, "repositories").select(F.col("repo_name").alias("name")), "amber indexer tool")
 
@@ -235,8 +241,9 @@ def file_summaries(s, d):
 
 
 def bm25_elements(s, d):
+    """The best elements of all by their whole text; the index is stored by the first query of the session."""
     e = read_table(s, d, "code_elements").select("id", tx.search_text(*(F.col(c) for c in ("name", "type", "language", "relative_path", "docstring", "signature", "summary", "code"))).alias("text")).dropDuplicates(["id"])
-    return ti.top_k(ti.bm25(e, "merge sorted region map header", "id"), 30)
+    return ti.top_k(ti.stored_index(e, "elements", "id").search("merge sorted region map header"), 30)
 
 
 def definitions(s, d):
@@ -265,6 +272,11 @@ def url_names(s, d):
     return read_table(s, d, "repositories").select("repo_name", tx.repo_name_of_url(F.col("repo_url")).alias("url_name"))
 
 
+def element_url_names(s, d):
+    e = read_table(s, d, "code_elements").select("repo_name", "repo_url").distinct()
+    return e.select("repo_name", tx.repo_name_of_url(F.col("repo_url")).alias("url_name"))
+
+
 def contained_after_best(s, d):
     """The best element of each file by its length, and none that lies within another."""
     e = _elements(s, d, "id", "type", "repo_name", "relative_path", "start_line", "end_line")
@@ -331,7 +343,7 @@ QUERIES = {
     "best_per_file": (best_per_file, f"WITH {_E}, c AS (SELECT *, end_line - start_line AS score FROM e WHERE start_line > 1), m AS (SELECT *, max((type = 'file')::INT) OVER (PARTITION BY repo_name, relative_path) AS has FROM c) SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY repo_name, relative_path, has, CASE WHEN has = 0 THEN id END ORDER BY score DESC, id) AS k FROM m WHERE has = 0 OR type = 'file') WHERE k = 1"),
     "total_lines": (total_lines, f"WITH {_E} SELECT repo_name, sum(CASE WHEN end_line - start_line + 1 > 0 THEN end_line - start_line + 1 ELSE coalesce(len(string_split(nullif(code, ''), chr(10))), 0) END)::BIGINT AS lines FROM e GROUP BY repo_name"),
     "priority_scores": (priority_scores, f"WITH {_E} SELECT id, {_PRI} AS priority FROM e WHERE type IN ('class', 'function')"),
-    "budget_prune": (budget_prune, None),
+    "budget_prune": (budget_prune, f"WITH RECURSIVE {_E}, o AS (SELECT repo_name, id, (end_line - start_line + 1) AS lines, row_number() OVER (PARTITION BY repo_name ORDER BY {_PRI} DESC, id) AS k FROM e WHERE type IN ('class', 'function')), s(repo_name, k, id, used, taken, took, ended) AS (SELECT repo_name, k, id, greatest(lines, 0)::BIGINT, 1, TRUE, FALSE FROM o WHERE k = 1 UNION ALL SELECT o.repo_name, o.k, o.id, CASE WHEN s.used + greatest(o.lines, 0) <= 400 THEN s.used + greatest(o.lines, 0) ELSE s.used END, CASE WHEN s.used + greatest(o.lines, 0) <= 400 THEN s.taken + 1 ELSE s.taken END, s.used + greatest(o.lines, 0) <= 400, s.used + greatest(o.lines, 0) > 400 AND s.taken >= 5 FROM s JOIN o ON o.repo_name = s.repo_name AND o.k = s.k + 1 WHERE NOT s.ended) SELECT repo_name, id FROM s WHERE took"),
     "grep_regex": (grep_regex, f"SELECT DISTINCT repo_name, relative_path, len(regexp_extract_all(content, '(?i)return [a-z_]+;'))::INT AS matches FROM source_files WHERE {_SEARCHABLE} AND len(regexp_extract_all(content, '(?i)return [a-z_]+;')) > 0"),
     "grep_literal": (grep_literal, f"SELECT DISTINCT repo_name, relative_path, len(regexp_extract_all(content, '(?i)sorted\\('))::INT AS matches FROM source_files WHERE {_SEARCHABLE} AND len(regexp_extract_all(content, '(?i)sorted\\(')) > 0"),
     "grep_glob_top": (grep_glob_top, f"SELECT DISTINCT repo_name, relative_path, len(regexp_extract_all(content, '(?i)def \\w+'))::INT AS matches FROM source_files WHERE {_SEARCHABLE} AND {_glob_sql('src/*.py')} AND len(regexp_extract_all(content, '(?i)def \\w+')) > 0 ORDER BY relative_path, repo_name LIMIT 30"),
@@ -355,9 +367,10 @@ QUERIES = {
     "built_elements": (built_elements, None),
     "last_definitions": (last_definitions, f"WITH {_E} SELECT name, max(id) AS id FROM e WHERE type = 'function' GROUP BY name"),
     "fuzzy_repositories": (fuzzy_repositories, "WITH r AS (SELECT repo_name AS name, list_distinct(list_filter(regexp_split_to_array(lower(repo_name), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM repositories), s AS (SELECT name, len(list_intersect(w, ['amber', 'indexer', 'tool'])) / greatest(len(list_distinct(list_concat(w, ['amber', 'indexer', 'tool']))), 1) AS score FROM r), t AS (SELECT name, CASE WHEN lower(name) = 'amber indexer tool' THEN 1 WHEN contains(lower(name), 'amber indexer tool') OR contains('amber indexer tool', lower(name)) THEN 2 WHEN score >= 0.5 THEN 3 END AS tier, round(score, 6) AS score FROM s) SELECT * FROM t WHERE tier IS NOT NULL"),
+    "fuzzy_elements": (fuzzy_elements, "WITH r AS (SELECT name, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM (SELECT DISTINCT name FROM code_elements WHERE type IN ('class', 'function'))), s AS (SELECT name, len(list_intersect(w, ['resolve', 'region', 'map'])) / greatest(len(list_distinct(list_concat(w, ['resolve', 'region', 'map']))), 1) AS score FROM r), t AS (SELECT name, CASE WHEN lower(name) = 'resolve region map' THEN 1 WHEN contains(lower(name), 'resolve region map') OR contains('resolve region map', lower(name)) THEN 2 WHEN score >= 0.5 THEN 3 END AS tier, round(score, 6) AS score FROM s) SELECT * FROM t WHERE tier IS NOT NULL"),
     "functions_without_elements": (functions_without_elements, "SELECT DISTINCT file_path, f.name AS name FROM (SELECT file_path, unnest(functions) AS f FROM parse_results) p WHERE NOT EXISTS (SELECT 1 FROM code_elements e WHERE e.type = 'function' AND e.file_path = p.file_path AND e.name = p.f.name)"),
     "file_summaries": (file_summaries, f"SELECT DISTINCT file_path, concat_ws('; ', 'Lines: ' || coalesce(total_lines, 0), 'Classes: ' || nullif({_NAMES.format('classes')}, ''), 'Functions: ' || nullif({_NAMES.format('functions')}, '')) AS summary FROM parse_results"),
-    "bm25_elements": (bm25_elements, None),
+    "bm25_elements": (bm25_elements, f"WITH {_E}, t AS (SELECT id, concat_ws(' ', nullif(name, ''), nullif(type, ''), nullif(language, ''), nullif(relative_path, ''), nullif(docstring, ''), nullif(signature, ''), nullif(summary, ''), nullif(code, '')) AS text FROM e), tok AS (SELECT id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: length(x) > 1) AS words FROM t), st AS (SELECT count(*) AS n, sum(len(words)) / count(*) AS avgdl FROM tok), u AS (SELECT id, len(words) AS dl, unnest(words) AS term FROM tok), tf AS (SELECT id, dl, term, count(*) AS tf FROM u GROUP BY ALL), raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw_idf FROM tf, st GROUP BY term, n), w AS (SELECT term, CASE WHEN raw_idf < 0 THEN 0.25 * (SELECT avg(raw_idf) FROM raw) ELSE raw_idf END AS idf FROM raw), r AS (SELECT id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN w USING (term), st WHERE term IN ('merge', 'sorted', 'region', 'map', 'header') GROUP BY id) SELECT id, round(score, 6) AS score FROM r WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT 30"),
     "definitions": (definitions, "WITH d AS (SELECT file_path, 'class' AS kind, '' AS parent, x.name AS name, x.start_line AS start_line, x.end_line AS end_line FROM (SELECT file_path, unnest(classes) AS x FROM parse_results) UNION SELECT file_path, 'function', coalesce(x.class_name, ''), x.name, x.start_line, x.end_line FROM (SELECT file_path, unnest(functions) AS x FROM parse_results)) SELECT concat_ws('::', file_path, nullif(parent, ''), name) AS definition_id, * FROM d WHERE file_path IS NOT NULL AND name IS NOT NULL"),
     "import_names": (import_names, "WITH i AS (SELECT file_path, unnest(imports) AS x FROM parse_results) SELECT DISTINCT file_path, x.line AS line, x.module AS module, unnest(CASE WHEN len(x.names) > 0 THEN x.names ELSE [NULL] END) AS name, coalesce(x.level, 0) AS level, coalesce(unnest(CASE WHEN len(x.names) > 0 THEN x.names ELSE [NULL] END) = '*', FALSE) AS wildcard FROM i"),
     "docstrings_dedented": (
@@ -368,6 +381,7 @@ QUERIES = {
     "token_estimates": (token_estimates, "SELECT DISTINCT id, coalesce(ceil(length(code) / 4.0), 0)::INT AS tokens, md5(substring(code, 1, 400)) AS head_md5 FROM code_elements"),
     "file_hashes": (file_hashes, "SELECT DISTINCT path, md5(content) AS md5 FROM source_files WHERE content IS NOT NULL"),
     "url_names": (url_names, "SELECT repo_name, regexp_replace(regexp_extract(regexp_replace(repo_url, '/+$', ''), '[^/:]*$'), '\\.git$', '') AS url_name FROM repositories"),
+    "element_url_names": (element_url_names, "SELECT repo_name, regexp_replace(regexp_extract(regexp_replace(repo_url, '/+$', ''), '[^/:]*$'), '\\.git$', '') AS url_name FROM (SELECT DISTINCT repo_name, repo_url FROM code_elements)"),
     "contained_after_best": (contained_after_best, f"WITH {_E}, c AS (SELECT * FROM e WHERE type <> 'file') SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.repo_name = c.repo_name AND o.relative_path = c.relative_path AND o.start_line <= c.start_line AND c.end_line <= o.end_line AND (o.start_line < c.start_line OR c.end_line < o.end_line) AND {_RANK.format('o')} >= {_RANK.format('c')})"),
     "selected_files_boosted": (selected_files_boosted, f"WITH {_E}, r AS (SELECT id, least((end_line - start_line + 1) / 200.0, 1.0) AS score, 0 AS chosen FROM e WHERE type <> 'documentation' UNION ALL SELECT id, 0.8, 1 FROM e WHERE type = 'file' AND ({' OR '.join(f"contains(lower(regexp_extract(relative_path, '[^/]*$')), '{k}')" for k in ov.KEY_NAMES)})) SELECT id, round(max(score) * CASE WHEN max(chosen) = 1 THEN 1.3 ELSE 1 END, 6) AS score FROM r GROUP BY id"),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codescout.functions import text as tx
 from codescout.operators import hybrid as hy
+from codescout.operators import rollups as du
 from codescout.operators import textindex as ti
 from codescout.operators import vectors as ve
 from codescout.session import shared_folder
@@ -112,7 +113,7 @@ def label_centroids(s, d):
 def centroid_similarity(s, d):
     """Cosine of each vector with the centroid of its own label."""
     c = ve.centroids(read_table(s, d, "embeddings"))
-    each = read_table(s, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("dim", "v")).join(F.broadcast(c), ["label", "dim"])  # labels x dimensions
+    each = read_table(s, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("dim", "v")).join(c, ["label", "dim"])
     v = F.col("v").cast("double")
     out = each.groupBy("vec_id").agg((F.sum(v * F.col("mean")) / (F.sqrt(F.sum(v * v)) * F.sqrt(F.sum(F.col("mean") * F.col("mean"))))).alias("similarity"))
     return out.select("vec_id", F.round("similarity", 6).alias("similarity"))
@@ -219,8 +220,7 @@ def session_history(s, d):
 def session_deltas(s, d):
     """Length gained from one document of a source to the next."""
     t = _docs(s, d).where("source is not null and text is not null").select("source", "doc_id", "created_at", F.length("text").alias("n"))
-    order = Window.partitionBy("source").orderBy("created_at", "doc_id")
-    return t.select("doc_id", (F.col("n") - F.lag("n").over(order)).alias("gain")).where("gain is not null")
+    return du.gains(t, "source", ["created_at", "doc_id"], "n").select("doc_id", "gain").where("gain is not null")
 
 
 QUERIES = {

@@ -8,7 +8,7 @@ from codescout.operators import graph as gr
 from codescout.sources.tables import read_table
 
 _EDGES = "g AS (SELECT DISTINCT graph, src, dst FROM graph_edges WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst)"
-#: A query set of a stated size: the sources whose hash ends so.
+#: The query set of the walks over several steps: the sources whose id ends so, against all edges.
 _SEED_TEXT = "right(src, 1) = '0'"
 _SEEDS = f"s AS (SELECT DISTINCT src AS seed FROM g WHERE {_SEED_TEXT})"
 
@@ -44,11 +44,15 @@ def dangling_edges(s, d):
 
 
 def successors(s, d):
-    return _edges(s, d).join(_seeds(s, d).withColumnRenamed("node", "src"), "src", "left_semi").select("graph", "src", "dst")
+    """The nodes one step along the edges from each node, with their number."""
+    e = _edges(s, d).select("graph", F.col("src").alias("node"), F.col("dst").alias("successor"))
+    return e.join(e.groupBy("graph", "node").agg(F.count(F.lit(1)).alias("n")), ["graph", "node"])
 
 
 def predecessors(s, d):
-    return _edges(s, d).join(_seeds(s, d).withColumnRenamed("node", "dst"), "dst", "left_semi").select("graph", "src", "dst")
+    """The nodes one step against the edges from each node, with their number."""
+    e = _edges(s, d).select("graph", F.col("dst").alias("node"), F.col("src").alias("predecessor"))
+    return e.join(e.groupBy("graph", "node").agg(F.count(F.lit(1)).alias("n")), ["graph", "node"])
 
 
 def khop_undirected(s, d):
@@ -81,10 +85,10 @@ QUERIES = {
     "edges_dedup": (edges_dedup, f"WITH {_EDGES} SELECT * FROM g"),
     "degree": (degree, f"WITH {_EDGES} SELECT graph, node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT graph, src AS node, 1 AS o, 0 AS i FROM g UNION ALL SELECT graph, dst, 0, 1 FROM g) GROUP BY 1, 2"),
     "graph_stats": (graph_stats, f"WITH {_EDGES}, n AS (SELECT graph, src AS node FROM g UNION SELECT graph, dst FROM g) SELECT graph, count(*) AS nodes, any_value(m) AS edges, round(2.0 * any_value(m) / count(*), 6) AS avg_degree FROM n JOIN (SELECT graph, count(*) AS m FROM g GROUP BY graph) USING (graph) GROUP BY graph"),
-    "graph_acyclic": (graph_acyclic, None),
+    "graph_acyclic": (graph_acyclic, f"WITH RECURSIVE {_EDGES}, r(graph, start, node) AS (SELECT graph, src, dst FROM g UNION SELECT r.graph, r.start, g.dst FROM r JOIN g ON g.graph = r.graph AND g.src = r.node), c AS (SELECT DISTINCT graph FROM r WHERE start = node) SELECT DISTINCT graph, graph NOT IN (SELECT graph FROM c) AS is_dag FROM g"),
     "dangling_edges": (dangling_edges, f"WITH {_EDGES} SELECT * FROM g WHERE dst NOT IN (SELECT id FROM code_elements WHERE id IS NOT NULL)"),
-    "successors": (successors, f"WITH {_EDGES}, {_SEEDS} SELECT * FROM g WHERE src IN (SELECT seed FROM s)"),
-    "predecessors": (predecessors, f"WITH {_EDGES}, {_SEEDS} SELECT * FROM g WHERE dst IN (SELECT seed FROM s)"),
+    "successors": (successors, f"WITH {_EDGES} SELECT graph, src AS node, dst AS successor, count(*) OVER (PARTITION BY graph, src) AS n FROM g"),
+    "predecessors": (predecessors, f"WITH {_EDGES} SELECT graph, dst AS node, src AS predecessor, count(*) OVER (PARTITION BY graph, dst) AS n FROM g"),
     "khop_undirected": (khop_undirected, f"WITH {_EDGES}, {_SEEDS}, {_BOTH}, {_HOPS} SELECT seed, node, 1 AS hop FROM one UNION ALL SELECT seed, node, 2 FROM (SELECT * FROM two EXCEPT SELECT * FROM one)"),
     "khop_directional": (khop_directional, f"WITH {_EDGES}, {_SEEDS}, t AS (SELECT graph, 'out' AS direction, src AS a, dst AS b FROM g UNION ALL SELECT graph, 'in', dst, src FROM g), one AS (SELECT DISTINCT seed, graph, direction, b AS node FROM s JOIN t ON t.a = s.seed WHERE b <> seed), two AS (SELECT DISTINCT seed, one.graph, one.direction, t.b AS node FROM one JOIN t ON t.a = one.node AND t.graph = one.graph AND t.direction = one.direction WHERE t.b <> seed) SELECT *, 1 AS hop FROM one UNION ALL SELECT *, 2 FROM (SELECT * FROM two EXCEPT SELECT * FROM one)"),
     "shortest_path_length": (shortest_path_length, f"WITH RECURSIVE {_EDGES}, {_SEEDS}, t AS (SELECT DISTINCT src, dst FROM g), w(source, node, length) AS (SELECT seed, seed, 0 FROM s UNION SELECT w.source, t.dst, w.length + 1 FROM w JOIN t ON t.src = w.node WHERE w.length < 4) SELECT source, node, min(length) AS length FROM w WHERE node <> source GROUP BY 1, 2"),
