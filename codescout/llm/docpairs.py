@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codescout.llm.files import language_of
+from codescout.session import cut
+
+#: Documentations that may be broadcast: about 50 MB.
+BROADCAST_ROWS = 100_000
 
 # --- signatures ------------------------------------------------------------------------------------------------------
 
@@ -29,7 +33,8 @@ SIGNATURE = {
         r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?function\b[ \t]*\*?[ \t]*(?P<a>[\w$]*)[ \t]*[<(]"
         r"|^[ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+(?P<b>[\w$]+)[^=\n;]*=[ \t]*(?:async[ \t]*)?(?:function\b|\([^\n]*=>|[\w$]+[ \t]*=>|\($)"
         rf"|^[ \t]*(?:(?:static|async|get|set|public|private|protected|readonly|override|abstract)[ \t]+)*\*?[ \t]*(?!{_WORD_FLOW})(?P<c>[#\w$]+)[ \t]*(?:<[^>\n]*>)?\([^;\n]*\)?[^;\n=]*\{{[ \t]*\r?$"
-        rf"|^[ \t]*(?:(?:static|async|get|set|public|private|protected|readonly|override|abstract)[ \t]+)*(?!{_WORD_FLOW})(?P<d>[#\w$]+)\([ \t]*\r?$",
+        rf"|^[ \t]*(?:(?:static|async|get|set|public|private|protected|readonly|override|abstract)[ \t]+)*(?!{_WORD_FLOW})(?P<d>[#\w$]+)\([ \t]*\r?$"
+        r"|^[ \t]*(?:(?:static|public|private|protected|readonly)[ \t]+)*(?P<e>[#\w$]+)[ \t]*(?::[^=\n]*)?=[ \t]*(?:async[ \t]*)?(?:function\b|\([^\n]*=>|[\w$]+[ \t]*=>)",
         re.M,
     ),
     "java": re.compile(rf"^[ \t]*(?:@\w+(?:\([^)\n]*\))?[ \t]+)*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)[ \t]+)*(?:<[^>\n]+>[ \t]*)?(?!{_WORD_FLOW})(?:[\w.]+(?:<[^;{{}}\n]*>)?(?:\[\])*[ \t]+)?(?!{_WORD_FLOW})(?P<a>\w+)[ \t]*\([^;\n]*(?:\{{|\)|,)[ \t]*(?:throws[^;{{\n]*)?\{{?[ \t]*\r?$", re.M),
@@ -66,6 +71,15 @@ def _python_end(text: str, start: int) -> int:
     return -1
 
 
+_TRIPLE = re.compile(r"\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^\\']|\\[\s\S]|'(?!''))*'''")
+_LINE_START = re.compile(r"\n(?=[^\n])")
+
+
+def _without_outdents(text: str) -> str:
+    """The text with the lines within literals moved far to the right, so that none of them ends a block."""
+    return _TRIPLE.sub(lambda m: _LINE_START.sub("\n" + " " * 400, m[0]), text)
+
+
 def _python_body_end(lines: list[str], first: int) -> int:
     """The last line (from 1) of the block whose header is on line `first`."""
     indent = len(lines[first - 1]) - len(lines[first - 1].lstrip())
@@ -135,6 +149,7 @@ def functions_of(language: str | None, text: str | None) -> list[tuple[int, int,
     starts = [0]
     for line in lines:
         starts.append(starts[-1] + len(line) + 1)
+    blocks = _without_outdents(text).split("\n") if language == "python" and ('"""' in text or "'''" in text) else lines
     at_line, at = 1, 0
     for m in find.finditer(text):
         at_line += text.count("\n", at, m.start())
@@ -144,7 +159,7 @@ def functions_of(language: str | None, text: str | None) -> list[tuple[int, int,
             end = _python_end(text, m.end() - 1)
             if end < 0:
                 continue
-            last = _python_body_end(lines, at_line)
+            last = _python_body_end(blocks, at_line)
             doc = _DOCSTRING.match(text, end)
             body = next((g for g in doc.groups() if g is not None), None) if doc else None
             stop = starts[last] - 1
@@ -249,12 +264,13 @@ def _tells(sentence: str, own: set[str]) -> bool:
 # --- operators -------------------------------------------------------------------------------------------------------
 
 
-def file_functions(files: DataFrame, with_code: bool = True) -> DataFrame:
+def file_functions(files: DataFrame, with_code: bool = True, with_signature: bool = True) -> DataFrame:
     """(path, start_line, end_line, name, signature, code, doc, told): the functions of each file.
 
     doc is null where there is no documentation; told is whether it says something. Null paths or contents and
     languages without functions give nothing. Repeated files give the same rows again. Without `with_code`
-    code and signature are null.
+    code is null, and only functions whose documentation says something are given; without `with_signature`
+    signature is null.
     """
     names = ["path", "start_line", "end_line", "name", "signature", "code", "doc", "told"]
 
@@ -265,11 +281,9 @@ def file_functions(files: DataFrame, with_code: bool = True) -> DataFrame:
                 for start, end, name, signature, code, doc in functions_of(language_of(path), text):
                     told = says_something(doc, name)
                     if with_code or told:
-                        out.append((row, start, end, name, signature if with_code else None, code if with_code else None, doc, told))
+                        out.append((row, start, end, name, signature if with_signature else None, code if with_code else None, doc if with_signature else None, told))
             rows, *columns = zip(*out, strict=True) if out else [()] * 8
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()]
-            if not with_code:
-                columns[5] = [None] * len(rows)
             yield pa.RecordBatch.from_arrays([paths.take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
     return files.select("path", "content").mapInArrow(run, "path string, start_line int, end_line int, name string, signature string, code string, doc string, told boolean")
@@ -277,7 +291,7 @@ def file_functions(files: DataFrame, with_code: bool = True) -> DataFrame:
 
 def documented_ids(elements: DataFrame, files: DataFrame) -> DataFrame:
     """(id) of the function elements whose documentation in the file says something; each id once."""
-    told = file_functions(files, with_code=False).where("told").select(F.col("path").alias("file_path"), "start_line").distinct()
+    told = file_functions(files, with_code=False, with_signature=False).where("told").select(F.col("path").alias("file_path"), "start_line").distinct()
     wanted = elements.where("type = 'function'").select("id", "file_path", F.col("start_line").cast("int").alias("start_line"))
     return wanted.join(told, ["file_path", "start_line"], "left_semi").select("id").distinct()
 
@@ -286,10 +300,22 @@ def code_doc_pairs(elements: DataFrame, files: DataFrame) -> DataFrame:
     """(id, name, signature, code, documentation): function elements with documentation that says something.
 
     The code is the element's own; where that is null or empty, the text that the stacks delimit in the file.
-    One row for each id; functions without a file, or whose file lacks them, are left out.
+    One row for each input row; functions without a file, or whose file lacks them, are left out.
+
+    The documentation goes to the elements, by broadcast where it is of at most `BROADCAST_ROWS` functions, so that
+    their code stays where it lies; files are read a second time only where an element lacks its code.
     """
-    told = file_functions(files).where("told").select(F.col("path").alias("file_path"), "start_line", F.col("name").alias("found_name"), F.col("signature").alias("found_signature"), F.col("code").alias("found_code"), "doc")
+    key = ["file_path", "start_line"]
+    told = file_functions(files, with_code=False).where("told").select(F.col("path").alias("file_path"), "start_line", F.col("name").alias("found_name"), F.col("signature").alias("found_signature"), "doc")
+    told = cut(told.dropDuplicates(key))
+    few = told.count() <= BROADCAST_ROWS
     wanted = elements.where("type = 'function'").select("id", "name", "file_path", F.col("start_line").cast("int").alias("start_line"), "signature", "code")
-    joined = wanted.join(told, ["file_path", "start_line"]).dropDuplicates(["id"])
+    joined = wanted.join(F.broadcast(told) if few else told, key)
     own = lambda a, b: F.coalesce(F.when(F.col(a) != "", F.col(a)), F.col(b)).alias(a)
-    return joined.select("id", own("name", "found_name"), own("signature", "found_signature"), own("code", "found_code"), F.col("doc").alias("documentation"))
+    described = joined.select("id", *key, own("name", "found_name"), own("signature", "found_signature"), "code", F.col("doc").alias("documentation"))
+    has = F.coalesce(F.col("code") != "", F.lit(False))
+    lacking = cut(described.where(~has).drop("code"))
+    places = lacking.select(F.col("file_path").alias("path")).distinct()
+    found = file_functions(files.join(places, "path", "left_semi")).select(F.col("path").alias("file_path"), "start_line", "code").dropDuplicates(key)
+    columns = ["id", "name", "signature", "code", "documentation"]
+    return described.where(has).select(columns).unionByName(lacking.join(found, key).select(columns))

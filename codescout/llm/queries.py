@@ -91,7 +91,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_doc_pairs(read_table(spark, sf_dir, "code_elements"), _table(spark, sf_dir, "source_files", "path", "content"))
+    return code_doc_pairs(_records(spark, sf_dir, "code_elements", "id", "type", "name", "file_path", "start_line", "signature", "code"), _table(spark, sf_dir, "source_files", "path", "content"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

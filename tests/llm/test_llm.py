@@ -549,6 +549,14 @@ def test_documented(spark):
     assert docpairs.documented_ids(elements.limit(0), source).count() == 0
 
 
+def test_bodies_and_fields():
+    py = 'def f():\n    """Seconds left."""\n    x = """\nat the margin\n"""\n    return x\n\ny = 1\n'
+    (start, end, name, _, code, doc), *more = docpairs.functions_of("python", py)
+    assert (start, end, name, doc, more) == (1, 6, "f", "Seconds left.", []) and code.endswith("return x")
+    js = "class A {\n  // Draws the rest of the rows.\n  draw = async (a) => {\n    return a;\n  };\n}\n"
+    assert [(f[0], f[2], f[5]) for f in docpairs.functions_of("javascript", js)] == [(3, "draw", "  // Draws the rest of the rows.")]
+
+
 # --- problem 8 -------------------------------------------------------------------------------------------------------
 
 
