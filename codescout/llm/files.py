@@ -255,7 +255,8 @@ def third_party(leaves: DataFrame, with_lines: DataFrame, library: DataFrame) ->
     known = cut(known)
     if known.count() <= BROADCAST_ROWS:  # a fixed table
         known = F.broadcast(known)
-    open_lines = with_lines.where("is_code").where(long_enough).select("path", F.col("n_lines").alias("n"), F.explode("lines").alias("line"))
+    enough_known = F.size("lines") >= 0.5 * F.col("n_lines")  # else no library can have half of them
+    open_lines = with_lines.where("is_code").where(long_enough & enough_known).select("path", F.col("n_lines").alias("n"), F.explode("lines").alias("line"))
     met = open_lines.join(known, "line").groupBy("path", "n", "file", "n_known").agg(F.count_distinct("line").alias("both"))
     alike = (F.col("both") >= SIMILAR * F.least("n", "n_known")) & (F.col("both") >= 0.5 * F.col("n")) & (F.col("both") >= LEAST_LINES)
     in_lines = met.where(alike).select("path", F.lit("lines").alias("reason"))
