@@ -114,3 +114,91 @@ def merge_selected(results: DataFrame, selected: DataFrame, base: float = 0.8, b
     want = selected.select("id", F.lit(base).alias("score"), F.lit(1).alias("chosen"))
     merged = have.unionByName(want).where("id is not null").groupBy("id").agg(F.max("score").alias("score"), F.max("chosen").alias("chosen"))
     return merged.select("id", (F.col("score") * F.when(F.col("chosen") == 1, boost).otherwise(1.0)).alias("score"))
+
+
+#: Weights of the parts of a retrieval, how many of each are taken, and what is given in the end.
+RETRIEVAL_WEIGHTS = {"semantic": 0.6, "pseudocode": 0.4, "keyword": 0.3}
+RETRIEVAL_POOLS = {"semantic": 20, "pseudocode": 10, "keyword": 10}
+MAX_RESULTS, MAX_ELEMENTS = 5, 100
+
+
+def best(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
+    """The k rows of the highest score; ties by id."""
+    return scored.orderBy(F.desc(F.round(score, 9)), "id").limit(k)
+
+
+def combine_parts(semantic: DataFrame, keyword: DataFrame, pseudocode: DataFrame | None = None) -> DataFrame:
+    """(id, semantic_score, keyword_score, pseudocode_score, total_score) of (id, score) tables; keyword scores are divided by their largest.
+
+    Null ids are left out; an id that a table repeats counts with its best score.
+    """
+    top = keyword.agg(F.max("score").alias("top"))
+    parts = {"semantic": semantic.select("id", "score"), "keyword": keyword.crossJoin(F.broadcast(top)).where("top > 0").select("id", (F.col("score") / F.col("top")).alias("score"))}
+    if pseudocode is not None:
+        parts["pseudocode"] = pseudocode.select("id", "score")
+    each = None
+    for name, weight in RETRIEVAL_WEIGHTS.items():
+        if name in parts:
+            one = parts[name].where("id is not null").select("id", F.lit(name).alias("part"), (F.col("score") * weight).alias("score"))
+            each = one if each is None else each.unionByName(one)
+    of = lambda name: F.coalesce(F.max(F.when(F.col("part") == name, F.col("score"))), F.lit(0.0)).alias(f"{name}_score")
+    out = each.groupBy("id").agg(*(of(name) for name in ("semantic", "keyword", "pseudocode")))
+    return out.withColumn("total_score", F.col("semantic_score") + F.col("keyword_score") + F.col("pseudocode_score"))
+
+
+def retrieve(elements: DataFrame, semantic: DataFrame, keyword: DataFrame, pseudocode: DataFrame | None = None, language: str | None = None, kind: str | None = None, path_part: str | None = None, k: int = MAX_RESULTS, group_col: str = "relative_path") -> DataFrame:
+    """(id, type, total_score): one retrieval from (id, score) tables and elements (id, type, language, the group column).
+
+    The best of each table are combined, weighted by type, filtered, spread over the groups, and the best k given.
+    Filters that are None do not apply; a null group is one group.
+    """
+    pools = {name: best(table, RETRIEVAL_POOLS[name]) for name, table in (("semantic", semantic), ("keyword", keyword), ("pseudocode", pseudocode)) if table is not None}
+    combined = combine_parts(pools["semantic"], pools["keyword"], pools.get("pseudocode"))  # at most forty rows
+    typed = rerank(elements.select("id", "type", "language", group_col).join(F.broadcast(combined), "id"), "type", "total_score")
+    if language is not None:
+        typed = typed.where(F.col("language") == language)
+    if kind is not None:
+        typed = typed.where(F.col("type") == kind)
+    if path_part is not None:
+        typed = typed.where(F.col(group_col).contains(path_part))
+    spread = diversify(typed.withColumn("total_score", F.round("total_score", 9)), group_col, "total_score")
+    return best(spread, k, "total_score").select("id", "type", "total_score")
+
+
+def limit_by_relevance(results: DataFrame, most: int = MAX_ELEMENTS, score: str = "total_score") -> DataFrame:
+    """The `most` rows of the highest score, those without one last; ties by id."""
+    return results.orderBy(F.desc(F.coalesce(score, F.lit(0.0))), "id").limit(most)
+
+
+def next_round(existing: DataFrame, found: DataFrame, edges: DataFrame, elements: DataFrame, hops: int = 2, most: int = MAX_ELEMENTS) -> DataFrame:
+    """(id, total_score) that a further round adds to existing (id) from what its tools found (id, total_score).
+
+    What is known is dropped; the rest is widened along the edges, freed of what lies within other elements, once more
+    freed of what is known, and cut to the `most` relevant. Neighbours that are no element are dropped.
+    """
+    from codescout.operators.dedup import drop_contained
+    from codescout.operators.graph import expand_scores
+
+    known = existing.select("id").distinct()
+    new = found.where("id is not null").groupBy("id").agg(F.max("total_score").alias("total_score")).join(known, "id", "left_anti")
+    ranked = new.withColumn("rank", F.struct(-F.coalesce("total_score", F.lit(0.0)), F.col("id")))
+    near = expand_scores(edges, ranked.withColumnRenamed("total_score", "score"), hops).select("id", F.col("score").alias("total_score"))
+    wide = new.unionByName(near).join(elements.select("id", "repo_name", "relative_path", "type", "start_line", "end_line"), "id")
+    return limit_by_relevance(drop_contained(wide).join(known, "id", "left_anti").select("id", "total_score"), most)
+
+
+def round_gains(rounds: DataFrame, key: str = "question_id", least_gain: float = 5.0, max_rounds: int = 6) -> DataFrame:
+    """(key, rounds, initial_confidence, final_confidence, gain, total_lines, budget_used, roi, rating, stopped) of (key, round, confidence, lines, budget, threshold).
+
+    lines are those gathered up to the round; roi is the gain for each thousand of them. Rounds of a question are few.
+    """
+    order = Window.partitionBy(key).orderBy("round")
+    each = rounds.withColumn("gained", F.col("confidence") - F.lag("confidence").over(order)).withColumn("from_end", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("round"))))
+    low = F.coalesce(F.every(F.when(F.col("from_end") <= 2, F.coalesce(F.col("gained") < least_gain, F.lit(False))).otherwise(True)), F.lit(False))
+    out = each.groupBy(key).agg(F.count(F.lit(1)).alias("rounds"), F.min_by("confidence", "round").alias("initial_confidence"), F.max_by("confidence", "round").alias("final_confidence"), F.max_by("lines", "round").alias("total_lines"), F.max_by("budget", "round").alias("budget"), F.max_by("threshold", "round").alias("threshold"), low.alias("low"))
+    out = out.withColumn("gain", F.col("final_confidence") - F.col("initial_confidence")).withColumn("budget_used", F.col("total_lines") / F.col("budget") * 100)
+    out = out.withColumn("roi", F.when(F.col("total_lines") > 0, F.col("gain") / F.col("total_lines") * 1000).otherwise(0.0))
+    roi, used = F.col("roi"), F.col("budget_used")
+    rating = F.when((roi >= 5) & (used < 70), "excellent").when((roi >= 3) & (used < 85), "good").when((roi >= 1.5) | (used < 90), "acceptable").otherwise("inefficient")
+    stopped = F.when(F.col("final_confidence") >= F.col("threshold"), "confidence_threshold_reached").when(F.col("rounds") >= max_rounds, "max_iterations_reached").when(F.col("total_lines") >= F.col("budget"), "line_budget_exceeded").when((F.col("rounds") >= 3) & F.col("low"), "diminishing_returns").otherwise("other")
+    return out.select(key, "rounds", "initial_confidence", "final_confidence", "gain", "total_lines", "budget_used", "roi", rating.alias("rating"), stopped.alias("stopped"))

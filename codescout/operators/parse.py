@@ -71,19 +71,47 @@ def _block_end(text: str, at: int) -> int:
     return len(text)
 
 
+# Words that look like calls and are none, and what counts as a branch.
+_NO_CALLS = {"if", "for", "while", "switch", "catch", "return", "match", "sizeof", "typeof", "new", "func", "function", "fn", "else", "defer", "go", "await", "throw"}
+_BRANCH = re.compile(r"\b(?:if|for|while|case|catch|loop)\b|&&|\|\||\?(?![.?:])")
+
+
+def _doc_above(lines: list[str], line: int) -> str | None:
+    """The text of the comment that ends directly above a line (from 1), with attributes and annotations between; null if there is none."""
+    n = line - 1
+    while n and re.match(r"\s*(?:@\w|#!?\[)", lines[n - 1]):
+        n -= 1
+    if not n:
+        return None
+    first, above = n, lines[n - 1].strip()
+    if above.endswith("*/"):
+        while first > 1 and "/*" not in lines[first - 1]:
+            first -= 1
+        if not lines[first - 1].lstrip().startswith("/*"):
+            return None
+    elif above.startswith("//"):
+        while first > 1 and lines[first - 2].lstrip().startswith("//"):
+            first -= 1
+    else:
+        return None
+    bare = [re.sub(r"^\s*(?:/\*+!?|\*+/|\*+|//+!?)\s?|\s*\*+/\s*$", "", x).strip() for x in lines[first - 1 : n]]
+    return "\n".join(bare).strip() or None
+
+
 def _braces(text: str) -> tuple[str | None, list, list, list]:
     line = lambda at: text.count("\n", 0, at) + 1
-    classes, functions, spans = [], [], []
+    classes, functions, spans, lines = [], [], [], text.split("\n")
     for m in _TYPE.finditer(text):
         end = _block_end(text, m.end() - 1)
         bases = [b.strip() for b in (m["bases"] or "").split(",") if b.strip()]
-        classes.append((m["name"], line(m.start()), line(end - 1), None, bases, m["kind"]))
+        classes.append((m["name"], line(m.start("name")), line(end - 1), _doc_above(lines, line(m.start("name"))), bases, m["kind"]))
         spans.append((m.start(), end, m["name"]))
     for m in _FN.finditer(text):
         end = _block_end(text, m.end() - 1)
         owner = next((name for low, high, name in reversed(spans) if low < m.start() and end <= high), None)
-        calls = sorted(set(re.findall(r"\b([A-Za-z_]\w*)\s*\(", _QUIET.sub(" ", text[m.end() : end]))) - {"if", "for", "while", "switch", "catch", "return"})
-        functions.append((m["name"], line(m.start()), line(end - 1), None, [p.strip() for p in m["params"].split(",") if p.strip()], None, "async" in m[0].split("(")[0], owner, [], 1, calls))
+        body = _QUIET.sub(" ", text[m.end() : end])
+        calls = sorted(set(re.findall(r"\b([A-Za-z_]\w*)\s*\(", body)) - _NO_CALLS)
+        functions.append((m["name"], line(m.start("name")), line(end - 1), _doc_above(lines, line(m.start("name"))), [p.strip() for p in m["params"].split(",") if p.strip()], None, "async" in m[0].split("(")[0], owner, [], 1 + len(_BRANCH.findall(body)), calls))
     imports = [(next(g for g in m.groups() if g), [], False, line(m.start()), 0, None) for m in _IMPORT.finditer(text)]
     return None, classes, functions, imports
 

@@ -51,7 +51,7 @@ def idf(stats: DataFrame, *more: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """A stored index: postings (bucket, term, id, tf, len), terms (bucket, term, df, idf) and stats (n, avgdl, mean_idf), as Parquet.
+    """A stored index: postings (bucket, term, id, tf, len), terms (bucket, term, df, idf) and stats (n, avgdl, vocabulary), as Parquet.
 
     Postings and terms are partitioned by a hash of the term and sorted by term, so a question reads the
     parts of its own terms only.
@@ -60,18 +60,24 @@ class TextIndex:
     spark: SparkSession
     path: str
     buckets: int
+    id_type: str = "bigint"
+
+    def read(self, table: str) -> DataFrame:
+        """A table of the index; its columns are stated, as an index without terms has no files."""
+        columns = {"postings": f"term string, id {self.id_type}, tf bigint, len int, bucket int", "terms": "term string, df bigint, idf double, bucket int", "stats": "n bigint, avgdl double, vocabulary bigint"}
+        return self.spark.read.schema(columns[table]).parquet(f"{self.path}/{table}")
 
     def _of(self, table: str, terms: list[str]) -> DataFrame:
         numbers = [_bucket_of(t, self.buckets) for t in terms]
-        return self.spark.read.parquet(f"{self.path}/{table}").where(F.col("bucket").isin(*set(numbers)) & F.col("term").isin(*set(terms)))
+        return self.read(table).where(F.col("bucket").isin(*set(numbers)) & F.col("term").isin(*set(terms)))
 
     def search(self, query: str, k1: float = K1, b: float = B, mode: str = "default") -> DataFrame:
         """(id, score) as bm25() gives it, from the postings of the question's terms."""
         terms = query_terms(query) if mode == "default" else query.lower().split()
         if not terms:
-            return self.spark.read.parquet(f"{self.path}/postings").select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+            return self.read("postings").select("id", F.lit(0.0).alias("score")).where(F.lit(False))
         times = reduce(lambda c, t: c.when(F.col("term") == t, terms.count(t)), sorted(set(terms)), F.when(F.lit(False), 0))
-        stats = self.spark.read.parquet(f"{self.path}/stats").first()  # one row
+        stats = self.read("stats").first()  # one row
         if stats is None or not stats["avgdl"]:
             return self._of("postings", terms).select("id", F.lit(0.0).alias("score")).where(F.lit(False))
         weights = {r["term"]: r["idf"] for r in self._of("terms", terms).select("term", "idf").collect()}  # the question's terms
@@ -101,14 +107,15 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     postings = each.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len")).withColumn("bucket", _bucket(F.col("term"), buckets))
     spread = postings.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term")
     spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    stored = spark.read.parquet(f"{path}/postings")
+    index = TextIndex(spark, path, buckets, docs.schema[id_col].dataType.simpleString())
+    stored = index.read("postings")
     n, total = docs.agg(F.count(F.lit(1)), F.sum(F.size(tokens(F.col(text_col), mode)))).first()
     df = stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
     weights = idf(df.select("bucket", "term", "df", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf")), "bucket")
     weights.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    mean = spark.read.parquet(f"{path}/terms").agg(F.count(F.lit(1)).alias("vocabulary")).select(F.lit(n).alias("n"), F.lit((total or 0) / max(n, 1)).alias("avgdl"), "vocabulary")
+    mean = index.read("terms").agg(F.count(F.lit(1)).alias("vocabulary")).select(F.lit(n).cast("bigint").alias("n"), F.lit(float(total or 0) / max(n, 1)).alias("avgdl"), "vocabulary")
     mean.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    return TextIndex(spark, path, buckets)
+    return index
 
 
 _BUILT: dict[tuple[str, str], TextIndex] = {}

@@ -15,6 +15,7 @@ from codescout.operators import resolve as rs
 from codescout.operators import rollups as ro
 from codescout.operators import search as se
 from codescout.operators import textindex as ti
+from codescout.sources import repository as repo
 from codescout.sources.tables import read_table
 
 _E = "e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at DESC NULLS LAST) AS n FROM code_elements) WHERE n = 1)"
@@ -268,6 +269,12 @@ def file_hashes(s, d):
     return _files(s, d).where("content is not null").select("path", F.md5("content").alias("md5")).distinct()
 
 
+def shown_contents(s, d):
+    """Contents as they are shown, up to 1,500 characters."""
+    out = repo.read_contents(_files(s, d), 1500)
+    return out.select("path", F.md5("content").alias("content_md5"), "total_lines", "truncated").distinct()
+
+
 def url_names(s, d):
     return read_table(s, d, "repositories").select("repo_name", tx.repo_name_of_url(F.col("repo_url")).alias("url_name"))
 
@@ -380,6 +387,7 @@ QUERIES = {
     ),
     "token_estimates": (token_estimates, "SELECT DISTINCT id, coalesce(ceil(length(code) / 4.0), 0)::INT AS tokens, md5(substring(code, 1, 400)) AS head_md5 FROM code_elements"),
     "file_hashes": (file_hashes, "SELECT DISTINCT path, md5(content) AS md5 FROM source_files WHERE content IS NOT NULL"),
+    "shown_contents": (shown_contents, "SELECT DISTINCT path, md5(substring(content, 1, 1500)) AS content_md5, len(string_split(substring(content, 1, 1500), chr(10)))::INT AS total_lines, length(content) >= 1500 AS truncated FROM source_files WHERE content IS NOT NULL"),
     "url_names": (url_names, "SELECT repo_name, regexp_replace(regexp_extract(regexp_replace(repo_url, '/+$', ''), '[^/:]*$'), '\\.git$', '') AS url_name FROM repositories"),
     "element_url_names": (element_url_names, "SELECT repo_name, regexp_replace(regexp_extract(regexp_replace(repo_url, '/+$', ''), '[^/:]*$'), '\\.git$', '') AS url_name FROM (SELECT DISTINCT repo_name, repo_url FROM code_elements)"),
     "contained_after_best": (contained_after_best, f"WITH {_E}, c AS (SELECT * FROM e WHERE type <> 'file') SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.repo_name = c.repo_name AND o.relative_path = c.relative_path AND o.start_line <= c.start_line AND c.end_line <= o.end_line AND (o.start_line < c.start_line OR c.end_line < o.end_line) AND {_RANK.format('o')} >= {_RANK.format('c')})"),

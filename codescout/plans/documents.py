@@ -52,8 +52,8 @@ def _index(s, d):
 def index_build(s, d):
     """The stored index, built anew: its postings summed up by term."""
     built = ti.build_index(_docs(s, d).select("doc_id", "text"), f"{shared_folder(s)}/index-{s.sparkContext.applicationId}-new")
-    terms = s.read.parquet(f"{built.path}/terms")
-    return s.read.parquet(f"{built.path}/postings").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("len").alias("len")).join(terms.select("term", "df", F.round("idf", 6).alias("idf")), "term")
+    terms = built.read("terms")
+    return built.read("postings").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("len").alias("len")).join(terms.select("term", "df", F.round("idf", 6).alias("idf")), "term")
 
 
 def tokenize_counts(s, d):
@@ -145,6 +145,15 @@ def hybrid_search(s, d):
     return ti.top_k(typed.select("id", "type", "score"), 20)
 
 
+def retrieval(s, d):
+    """One retrieval: the first vector as the question, the second as its pseudocode, and the keywords; English only."""
+    vectors = read_table(s, d, "embeddings")
+    second = vectors.orderBy("vec_id").limit(2).orderBy(F.desc("vec_id")).limit(1).select(F.col("embedding").alias("vec"))
+    elements = _docs(s, d).select(F.col("doc_id").alias("id"), F.expr(_KIND).alias("type"), F.col("lang").alias("language"), F.coalesce("source", F.lit("")).alias("source"))
+    found = hy.retrieve(elements, ve.cosine_search(vectors, _query_vector(s, d)), _index(s, d).search(QUESTION), ve.cosine_search(vectors, second), language="en", k=12, group_col="source")
+    return found.select("id", "type", F.round("total_score", 6).alias("total_score"))
+
+
 def combine_components(s, d):
     keyword, vector = _pools(s, d)
     out = hy.combine(vector, keyword)
@@ -237,6 +246,7 @@ QUERIES = {
     "label_centroids": (label_centroids, "SELECT label, dim::INT AS dim, round(avg(v), 6) AS mean FROM (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY label, dim"),
     "centroid_similarity": (centroid_similarity, "WITH x AS (SELECT vec_id, label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), c AS (SELECT label, dim, avg(v) AS m FROM x GROUP BY label, dim) SELECT vec_id, round(sum(v * m) / (sqrt(sum(v * v)) * sqrt(sum(m * m))), 6) AS similarity FROM x JOIN c USING (label, dim) GROUP BY vec_id"),
     "hybrid_search": (hybrid_search, f"WITH {_POOLS} SELECT id, type, round(score * {_WEIGHT}, 6) AS score FROM typed ORDER BY 3 DESC, 1 LIMIT 20"),
+    "retrieval": (retrieval, f"WITH {_bm25_sql()}, {_QVEC}, p AS (SELECT embedding AS vec FROM embeddings ORDER BY vec_id LIMIT 1 OFFSET 1), kw AS (SELECT * FROM scored ORDER BY round(score, 9) DESC, id LIMIT 10), a AS (SELECT vec_id AS id, {_COS} AS score FROM embeddings e, q WHERE {_COS} > 0 ORDER BY round(score, 9) DESC, id LIMIT 20), b AS (SELECT vec_id AS id, {_COS.replace('q.vec', 'p.vec')} AS score FROM embeddings e, p WHERE {_COS.replace('q.vec', 'p.vec')} > 0 ORDER BY round(score, 9) DESC, id LIMIT 10), c AS (SELECT id, sum(s) AS s FROM (SELECT id, score * 0.6 AS s FROM a UNION ALL SELECT id, score * 0.4 FROM b UNION ALL SELECT id, score / (SELECT max(score) FROM kw) * 0.3 FROM kw) GROUP BY id), t AS (SELECT c.id, {_KIND} AS type, coalesce(source, '') AS source, s FROM c JOIN documents d ON d.doc_id = c.id WHERE lang = 'en'), r AS (SELECT id, type, source, round(s * {_WEIGHT}, 9) AS s FROM t), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s DESC, id) AS k FROM r) SELECT id, type, round(CASE WHEN k > 1 THEN s * 0.9 ELSE s END, 6) AS total_score FROM n ORDER BY round(CASE WHEN k > 1 THEN s * 0.9 ELSE s END, 9) DESC, id LIMIT 12"),
     "combine_components": (combine_components, f"WITH {_POOLS}, a AS (SELECT id, score * 0.6 AS s FROM vec), b AS (SELECT id, score / (SELECT max(score) FROM kw) * 0.3 AS k FROM kw) SELECT id, round(coalesce(s, 0), 6) AS semantic_score, round(coalesce(k, 0), 6) AS keyword_score, round(coalesce(s, 0) + coalesce(k, 0), 6) AS total_score FROM a FULL JOIN b USING (id)"),
     "diversified_search": (diversified_search, f"WITH {_POOLS}, r AS (SELECT id, source, round(score * {_WEIGHT}, 9) AS score FROM typed), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS k FROM r) SELECT id, source, round(CASE WHEN k > 1 THEN score * 0.9 ELSE score END, 6) AS score FROM n ORDER BY 3 DESC, 1 LIMIT 20"),
     "select_sources": (select_sources, f"WITH {_bm25_sql()}, {_QVEC}, k AS (SELECT doc_id AS id, coalesce(source, '') AS source FROM documents), kws AS (SELECT source AS id, sum(score) AS score FROM scored JOIN k USING (id) GROUP BY source), sem AS (SELECT source AS id, max(score) AS score FROM (SELECT vec_id AS id, {_COS} AS score FROM embeddings e, q WHERE {_COS} > 0) JOIN k USING (id) GROUP BY source), b AS (SELECT coalesce(x.id, y.id) AS id, coalesce(x.score, 0) AS semantic, coalesce(y.score / (SELECT max(score) FROM kws), 0) AS keyword FROM (SELECT * FROM sem WHERE score >= 0.3) x FULL JOIN kws y ON x.id = y.id), t AS (SELECT *, semantic * 0.7 + keyword * 0.3 AS total FROM b) SELECT id, round(semantic, 6) AS semantic, round(keyword, 6) AS keyword, round(total, 6) AS total FROM t WHERE total > 0.15 OR semantic > 0.4 OR keyword > 0.95 ORDER BY t.total DESC, id LIMIT 5"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codescout.functions.patterns import basename, glob_regex, ignored
@@ -75,3 +75,15 @@ def merge_vectors(left: DataFrame, right: DataFrame, vec_col: str = "embedding")
     if len(lengths) > 1:
         raise ValueError(f"vectors of different lengths: {sorted(lengths)}")
     return left.unionByName(right)
+
+
+def without(table: DataFrame, predicate: Column) -> DataFrame:
+    """The rows for which the predicate does not hold; where it is null the row stays. Vectors and their metadata are one table, so both go."""
+    return table.where(~F.coalesce(predicate, F.lit(False)))
+
+
+def read_contents(files: DataFrame, max_chars: int = 50_000) -> DataFrame:
+    """(path, content, total_lines, truncated): contents as they are shown, up to max_chars characters, and the lines of what is shown."""
+    shown = F.substring("content", 1, max_chars)
+    lines = F.length(shown) - F.length(F.replace(shown, F.lit("\n"), F.lit(""))) + 1
+    return files.where("content is not null").select("path", shown.alias("content"), lines.cast("int").alias("total_lines"), (F.length("content") >= max_chars).alias("truncated"))

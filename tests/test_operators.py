@@ -65,7 +65,6 @@ def test_knn_in_blocks_is_exact(spark, monkeypatch):
     data = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(120)]
     v = spark.createDataFrame(data, "vec_id long, embedding array<float>")
     whole = rows(vectors.knn_batch(v, v.where("vec_id % 10 = 0"), 5), "query_id", "rank")
-    monkeypatch.setattr(vectors, "BLOCK_ROWS", 30)
     monkeypatch.setattr(vectors, "BLOCK_QUERIES", 4)
     assert rows(vectors.knn_batch(v, v.where("vec_id % 10 = 0"), 5), "query_id", "rank") == whole
 
@@ -160,7 +159,7 @@ def test_latest(spark):
 
 def test_grep_and_lists(spark):
     f = spark.createDataFrame([("r", "src/a.py", "Foo foo\nbar"), ("r", "vendor/b.py", "foo"), ("r", ".x/c.py", "foo"), ("r", "d.go", None)], "repo_name string, relative_path string, content string")
-    assert rows(search.grep(f, "foo")) == [("r", "src/a.py", 2)]
+    assert rows(search.grep(f, "foo")) == [("r", "src/a.py", 2), ("r", "vendor/b.py", 1)]
     assert rows(search.grep(f, "fo.", literal=True)) == []
     assert rows(search.grep_lines(f, "bar").select("line_no")) == [(2,)]
     assert rows(search.list_directory(f, ""), "name") == [("r", "d.go", "file", 1), ("r", "src", "directory", 1), ("r", "vendor", "directory", 1)]
@@ -217,3 +216,75 @@ def test_stream_index(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(source))
     incremental.index_stream(stream, str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination(120)
     assert repository.load(spark, str(tmp_path / "store"), "elements", ["r"]).count() == 2
+
+
+def test_acyclic(spark):
+    chain = [("long", f"n{i}", f"n{i + 1}") for i in range(60)]
+    ring = [("ring", f"n{i}", f"n{(i + 1) % 17}") for i in range(17)] + [("ring", "x", "n0"), ("ring", "n3", "y")]
+    pair = [("pair", "a", "b"), ("pair", "b", "a")]
+    mesh = [("mesh", f"l{i}{a}", f"l{i + 1}{b}") for i in range(6) for a in "pq" for b in "pq"]
+    df = spark.createDataFrame(chain + ring + pair + mesh, "graph string, src string, dst string")
+    assert {r["graph"]: r["is_dag"] for r in graph.acyclic(df).collect()} == {"long": True, "ring": False, "pair": False, "mesh": True}
+    assert graph.acyclic(df.limit(0)).count() == 0
+
+
+def test_knn_batch_equals_brute_force(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    rows = [(i, [r.choice([0.0, 1.0, -1.0, 0.5]) for _ in range(4)]) for i in range(160)] + [(900, None), (901, []), (902, [0.0] * 4), (903, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = {}
+    for x in vectors.knn_batch(df, df.where("vec_id % 20 = 0 or vec_id >= 900"), 7).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["id"], x["score"]))
+    known = {i: np.array(v, float) for i, v in rows if v and any(v)}
+    for q in [i for i in known if i % 20 == 0 or i >= 900]:
+        score = {i: round(float(v @ known[q] / np.linalg.norm(v) / np.linalg.norm(known[q])), 6) for i, v in known.items() if len(v) == len(known[q])}
+        want = [(n + 1, i, s) for n, (i, s) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:7]) if s > 0]
+        assert [(a, b) for a, b, _ in sorted(got[q])] == [(a, b) for a, b, _ in want]
+    assert not got.keys() & {900, 901, 902}
+
+
+def test_gains_over_spread_keys(spark):
+    rows = [("hot", t, (t * 37) % 101) for t in range(300)] + [("cold", t, t * t) for t in range(3)] + [("one", 1, 5), (None, 1, 1)]
+    df = spark.createDataFrame(rows, "k string, t int, n int").repartition(7)
+    got = {(r["k"], r["t"]): r["gain"] for r in rollups.gains(df, "k", ["t"], "n").collect()}
+    values = {(k, t): n for k, t, n in rows}
+    assert got == {(k, t): n - values[k, t - 1] if (k, t - 1) in values else None for (k, t), n in values.items() if k}
+
+
+def test_paths_that_end_in_each_other(spark):
+    paths = ["a/b/lib.py", "b.py", "lib.py", "x/lib.py.bak", "", "A/lib.py"]
+    wanted = ["b.py", "lib.py", "b/lib.py", "deep/a/b/lib.py"]
+    got = search.matching_paths(spark.createDataFrame([(p,) for p in [*paths, None]], "relative_path string"), spark.createDataFrame([(w,) for w in [*wanted, None]], "path string")).collect()
+    assert {tuple(r) for r in got} == {(p, w) for p in paths for w in wanted if p.endswith(w) or w.endswith(p)}
+
+
+def test_stored_index_equals_the_direct_ranking(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["The quick brown fox", "a lazy dog", "quick quick fox jumps", "dogs and a fox", None, "", "nothing of it", "brown bread"])], "doc_id long, text string")
+    index = textindex.build_index(docs, str(tmp_path / "index"), buckets=4)
+    for question in ("quick fox", "quick quick bread", "", "zebra"):
+        want = {r["id"]: round(r["score"], 9) for r in textindex.bm25(docs, question).collect()}
+        assert {r["id"]: round(r["score"], 9) for r in index.search(question).collect()} == want
+    empty = textindex.build_index(docs.limit(0), str(tmp_path / "none"))
+    assert empty.search("fox").count() == 0
+
+
+def test_rounds(spark):
+    elements = spark.createDataFrame([(i, "r", "f.py", "function", 10 * n, 10 * n + 5) for n, i in enumerate("abcde")] + [("big", "r", "f.py", "class", 0, 25)], "id string, repo_name string, relative_path string, type string, start_line int, end_line int")
+    edges = spark.createDataFrame([("call", "d", "e"), ("call", "e", "a")], "graph string, src string, dst string")
+    out = hybrid.next_round(spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([("a", 0.9), ("b", 0.5), ("d", 0.8), (None, 1.0), ("d", 0.1)], "id string, total_score double"), edges, elements)
+    assert [(r["id"], round(r["total_score"], 6)) for r in out.collect()] == [("d", 0.8), ("b", 0.5), ("e", 0.04)]
+    rounds = [("x", 1, 60.0, 100, 1000, 95.0), ("x", 2, 96.0, 400, 1000, 95.0), ("y", 1, 50.0, 10, 100, 95.0), ("y", 2, 51.0, 50, 100, 95.0), ("y", 3, 52.0, 90, 100, 95.0), ("z", 1, 50.0, 0, 100, 95.0)]
+    got = {r["question_id"]: (r["rounds"], r["gain"], r["rating"], r["stopped"]) for r in hybrid.round_gains(spark.createDataFrame(rounds, "question_id string, round int, confidence double, lines int, budget int, threshold double")).collect()}
+    assert got == {"x": (2, 36.0, "excellent", "confidence_threshold_reached"), "y": (3, 2.0, "good" if 2 / 90 * 1000 >= 3 and 90 < 85 else "acceptable", "diminishing_returns"), "z": (1, 0.0, "acceptable", "other")}
+
+
+def test_documentation_and_branches_of_other_languages(spark):
+    js = "/**\n * Drops rows.\n * @param a rows\n */\nfunction clean(a) {\n  if (a && b) { go(a); }\n  return f(a);\n}\n\nfunction bare() {\n}\n"
+    row = parse.parse_files(spark.createDataFrame([("r", "/r/a.js", "a.js", "javascript", js)], "repo_name string, path string, relative_path string, language string, content string")).first()
+    first, second = row["functions"]
+    assert first["docstring"] == "Drops rows.\n@param a rows" and first["complexity"] == 3 and first["calls"] == ["f"]
+    assert second["docstring"] is None and second["complexity"] == 1
