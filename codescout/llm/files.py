@@ -69,7 +69,6 @@ PROTO = re.compile(r"^\W*source: \S+\.(?:proto|idl|thrift|fbs)\b", re.I)
 _HEAD_COMMENT = re.compile(r"\s*(?:(?://|#|--|;|%)[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->)")
 _LITERAL = r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`)"
 _SLASH_COMMENT, _HASH_COMMENT = re.compile(_LITERAL + r"|//[^\n]*|/\*[\s\S]*?\*/"), re.compile(_LITERAL + r"|#[^\n]*")
-_NO_DIGITS = dict.fromkeys(map(ord, "0123456789"))
 _FLOW = re.compile(r"\b(?:function|def|func|fn|class|return|if|for|while|switch|match|try)\b|=>")
 _VALUE = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|-?\b\d[\w.]*|[\[\](){},;:\s]|\b(?:true|false|null|None|True|False)\b")
 #: Share of lines from which on a file is a copy, least lines of a copy, and shortest line that counts.
@@ -118,9 +117,9 @@ def layout(language: str, text: str) -> str | None:
         if sum(map(len, dense)) > 0.5 * sum(map(len, bare)):
             return "minified"
     if len(lines) >= 12:
-        kinds = Counter(text.translate(_NO_DIGITS).split("\n"))
+        kinds = Counter(text.encode("utf-8", "replace").translate(None, b"0123456789").split(b"\n"))
         kinds = Counter({k: n for k, n in kinds.items() if k.strip()})
-        if sum(n for n in kinds.values() if n >= 6) > 0.75 * len(lines) and max(kinds, key=kinds.get).strip(" \t\r{}()[];,") and sum(1 for k in kinds if kinds[k] >= 6) <= 6:
+        if sum(n for n in kinds.values() if n >= 6) > 0.75 * len(lines) and max(kinds, key=kinds.get).strip(b" \t\r{}()[];,") and sum(1 for k in kinds if kinds[k] >= 6) <= 6:
             return "repetitive"
     return None
 
