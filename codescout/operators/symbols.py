@@ -79,14 +79,31 @@ def resolved_inheritance(elements: DataFrame, files: DataFrame, parsed: DataFram
     return edges.where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.min("how").alias("how"))
 
 
+def _spans() -> Column:
+    """The functions and classes of a parsed file as (s, e, t, n, c): lines, type, name and class."""
+    func = F.transform(F.coalesce("functions", F.array()), lambda f: F.struct(f["start_line"].alias("s"), f["end_line"].alias("e"), F.lit("function").alias("t"), f["name"].alias("n"), F.nullif(f["class_name"], F.lit("")).alias("c")))
+    klass = F.transform(F.coalesce("classes", F.array()), lambda c: F.struct(c["start_line"].alias("s"), c["end_line"].alias("e"), F.lit("class").alias("t"), c["name"].alias("n"), c["name"].alias("c")))
+    return F.filter(F.concat(func, klass), lambda x: x["s"] <= x["e"])
+
+
+def with_scopes(rows: DataFrame, parsed: DataFrame) -> DataFrame:
+    """rows (file_path, line_no, ...) with scope_type, scope and class_name of the innermost function or class around the line; null where there is none.
+
+    A file's scopes come as one array, in which each of its rows looks; nothing is made for the lines of the scopes.
+    """
+    spans = parsed.where("file_path is not null").groupBy("file_path").agg(F.array_distinct(F.flatten(F.collect_set(_spans()))).alias("__spans"))
+    around = F.filter("__spans", lambda x: (x["s"] <= F.col("line_no")) & (F.col("line_no") <= x["e"]))
+    inner = F.array_max(F.transform(around, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["t"].alias("t"), x["n"].alias("n"), x["c"].alias("c")))).alias("__b")
+    found = rows.join(spans, "file_path", "left").select(*rows.columns, inner)
+    return found.select(*rows.columns, F.col("__b.t").alias("scope_type"), F.col("__b.n").alias("scope"), F.col("__b.c").alias("class_name"))
+
+
 def scope_lines(parsed: DataFrame) -> DataFrame:
     """(file_path, line_no, scope_type, scope, class_name): the innermost function or class around each line that has one.
 
     Each scope gives one row a line, so the work is the length of the scopes and not scopes times calls.
     """
-    func = F.transform(F.coalesce("functions", F.array()), lambda f: F.struct(f["start_line"].alias("s"), f["end_line"].alias("e"), F.lit("function").alias("t"), f["name"].alias("n"), F.nullif(f["class_name"], F.lit("")).alias("c")))
-    klass = F.transform(F.coalesce("classes", F.array()), lambda c: F.struct(c["start_line"].alias("s"), c["end_line"].alias("e"), F.lit("class").alias("t"), c["name"].alias("n"), c["name"].alias("c")))
-    spans = parsed.select("file_path", F.explode(F.concat(func, klass)).alias("x")).where("x.s <= x.e").distinct()
+    spans = parsed.select("file_path", F.explode(_spans()).alias("x")).distinct()
     lines = spans.select("file_path", "x", F.explode(F.sequence("x.s", "x.e")).alias("line_no"))
     inner = lines.groupBy("file_path", "line_no").agg(F.max(F.struct("x.s", (-F.col("x.e")).alias("e"), "x.t", "x.n", "x.c")).alias("b"))
     return inner.select("file_path", "line_no", F.col("b.t").alias("scope_type"), F.col("b.n").alias("scope"), F.col("b.c").alias("class_name"))
@@ -113,14 +130,14 @@ def call_sites(files: DataFrame) -> DataFrame:
     return out.withColumn("call_type", F.when(F.col("base") == "", "simple").otherwise("attribute")).distinct()
 
 
-def instance_types(files: DataFrame, scopes: DataFrame) -> DataFrame:
+def instance_types(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """(file_path, scope, variable, class_name): variables made by calling a class (`x = C()`, `self.x = C()`, `x = new C()`, `x := &C{`).
 
     scope is empty outside functions. A variable made in several ways in one scope has the first class by name.
     """
     made = F.regexp_extract("line", MADE, 2)
     found = _code_lines(files, "=").select("file_path", "line_no", F.regexp_extract("line", MADE, 1).alias("variable"), made.alias("made")).where("made <> ''")
-    placed = found.join(scopes.select("file_path", "line_no", "scope_type", "scope"), ["file_path", "line_no"], "left")
+    placed = with_scopes(found, parsed)
     scope = F.when(F.col("scope_type") == "function", F.col("scope")).otherwise("")
     return placed.groupBy("file_path", scope.alias("scope"), "variable").agg(F.min("made").alias("class_name"))
 
@@ -136,11 +153,10 @@ def resolve_calls(elements: DataFrame, files: DataFrame, parsed: DataFrame) -> D
     order, as a method of the own class, of the class that the variable was made from (in the scope, then in the file),
     or as a symbol: local, imported, member of a module.
     """
-    scopes = scope_lines(parsed)
-    placed = call_sites(files).join(scopes, ["file_path", "line_no"], "left")
+    placed = with_scopes(call_sites(files), parsed)
     scope = F.when(F.col("scope_type") == "function", F.col("scope")).otherwise("")
     calls = placed.select("file_path", F.coalesce("scope_type", F.lit("file")).alias("caller_type"), F.col("scope").alias("caller"), scope.alias("scope"), F.col("class_name").alias("own"), "base", "callee").distinct()
-    types = instance_types(files, scopes)
+    types = instance_types(files, parsed)
     near = types.select("file_path", "scope", F.col("variable").alias("base"), F.col("class_name").alias("near"))
     anywhere = types.groupBy("file_path", F.col("variable").alias("base")).agg(F.min("class_name").alias("wide"))
     typed = calls.join(near, ["file_path", "scope", "base"], "left").join(anywhere, ["file_path", "base"], "left")

@@ -36,7 +36,7 @@ def call_sites(s, d):
 
 
 def instance_variables(s, d):
-    return sy.instance_types(_files(s, d, "content"), sy.scope_lines(_parsed(s, d)))
+    return sy.instance_types(_files(s, d, "content"), _parsed(s, d))
 
 
 def symbol_inheritance(s, d):
