@@ -18,6 +18,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -156,9 +157,9 @@ class TrieEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(tokenizer_dir: str = TOKENIZER_DIR, name: str = RANKS_FILE) -> TrieEncoder:
-    """One encoder for each Python worker."""
-    with open(os.path.join(tokenizer_dir, name), "rb") as lines:
+def encoder(path: str) -> TrieEncoder:
+    """One encoder for each Python worker, from a file of ranks."""
+    with open(path, "rb") as lines:
         return TrieEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
 
 
@@ -168,13 +169,14 @@ def encode_corpus(
     """(id, ids), or (id, n_ids) where only the number is asked for: one row for each input row.
 
     Null and empty texts give an empty list (0). Repeated rows stay repeated; other columns are not read.
-    No shuffle.
+    No shuffle. The file of ranks goes from the driver to all executors.
     """
+    docs.sparkSession.sparkContext.addFile(os.path.join(tokenizer_dir, RANKS_FILE))
     field = T.StructField("ids", T.ArrayType(T.IntegerType()), False) if keep_ids else T.StructField("n_ids", T.IntegerType(), False)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType, True), field])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_dir)
+        enc = encoder(SparkFiles.get(RANKS_FILE))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             step = 512
