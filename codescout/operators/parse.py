@@ -5,7 +5,8 @@ from __future__ import annotations
 import ast
 import re
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -139,8 +140,12 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("repo_name", "path", "relative_path", "language", "content").mapInPandas(run, SCHEMA)
 
 
-def build_elements(parsed: DataFrame) -> DataFrame:
-    """Element rows (id, type, name, ..., code) of parsed files: the file, its classes, its functions and its documentation."""
+#: What elements are made of.
+LEVELS = ("file", "class", "function", "documentation")
+
+
+def build_elements(parsed: DataFrame, levels: Sequence[str] = LEVELS) -> DataFrame:
+    """Element rows (id, type, name, ..., code) of parsed files, on the levels asked for: the file, its classes, its functions and its documentation."""
     base = ["repo_name", F.col("path").alias("file_path"), "relative_path", "language"]
     text = lambda c, n: truncate(line_slice(F.col("content"), F.col(f"{c}.start_line"), F.col(f"{c}.end_line")), n)
     key = lambda kind, *parts: element_id(F.col("repo_name"), F.lit(kind), F.col("relative_path"), *parts).alias("id")
@@ -154,4 +159,5 @@ def build_elements(parsed: DataFrame) -> DataFrame:
     function = functions.select(key("function", owner, F.col("f.name")), F.lit("function").alias("type"), F.col("f.name").alias("name"), *base, "f.start_line", "f.end_line", text("f", 2000).alias("code"), call.alias("signature"), F.coalesce("f.docstring", F.lit("")).alias("docstring"))
     told = parsed.where("module_docstring <> ''")
     doc = told.select(key("documentation"), F.lit("documentation").alias("type"), F.col("relative_path").alias("name"), *base, F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.col("module_docstring").alias("code"), F.lit("").alias("signature"), F.col("module_docstring").alias("docstring"))
-    return file.unionByName(klass).unionByName(function).unionByName(doc)
+    made = [df for level, df in zip(LEVELS, (file, klass, function, doc), strict=True) if level in levels]
+    return reduce(DataFrame.unionByName, made)

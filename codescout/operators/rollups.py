@@ -71,3 +71,18 @@ def gains(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     carried = last.withColumn("__carried", F.lag("__last").over(Window.partitionBy(key).orderBy("__part"))).select("__part", F.col(key).alias("__key"), "__carried")
     both = inside.join(carried, (inside["__part"] == carried["__part"]) & (F.col(key) == F.col("__key")) & (F.col("__nth") == 1), "left")
     return both.select(*columns, (F.col(value) - F.coalesce("__before", "__carried")).alias("gain"))
+
+
+def results_summary(results: DataFrame, key: str, most_files: int = 10, most_elements: int = 15) -> DataFrame:
+    """(key, n, files, elements) of results (key, relative_path, type, name, score, id): how many there are, their first files by path, and their best elements as `type name`.
+
+    Only the files and elements that are shown are gathered for each key. Null paths and names are not shown.
+    """
+    count = results.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    paths = results.where("relative_path is not null").select(key, "relative_path").distinct()
+    first = paths.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("relative_path"))).where(F.col("nth") <= most_files)
+    files = first.groupBy(key).agg(F.sort_array(F.collect_list("relative_path")).alias("files"))
+    best = results.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id"))).where(F.col("nth") <= most_elements)
+    shown = F.transform(F.sort_array(F.collect_list(F.struct("nth", F.concat_ws(" ", "type", "name").alias("label")))), lambda x: x["label"])
+    elements = best.where("name is not null").groupBy(key).agg(shown.alias("elements"))
+    return count.join(files, key, "left").join(elements, key, "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,13 +86,25 @@ def elements_with_matches(elements: DataFrame, files: DataFrame, pattern: str, g
     return elements_of_file(elements, found).drop("wanted_path").distinct()
 
 
-# What makes a search term a pattern.
-_PATTERN_MARKS = r"[\\^$.|?*+()\[\]{}]"
+# Marks before which a backslash makes a search term a pattern.
+PATTERN_MARKS = [".", "*", "+", "?", "[", "]", "^", "$", "|", "(", ")", "{", "}"]
 
 
 def is_pattern(term: Column) -> Column:
-    """Whether a search term must be read as a regular expression: it has a mark of one, beside single dots."""
-    return F.regexp_replace(term, r"(?<=\w)\.(?=\w)", "").rlike(_PATTERN_MARKS)
+    """Whether a search term is read as a regular expression: it has a mark of one with a backslash before it."""
+    return reduce(lambda c, m: c | term.contains("\\" + m), PATTERN_MARKS, F.lit(False))
+
+
+def file_rows(elements: DataFrame, candidates: DataFrame, score: float = 0.8) -> DataFrame:
+    """The file elements of candidates (repo_name, relative_path) with the score and source of what tools find; each once."""
+    wanted = candidates.select("repo_name", "relative_path").distinct()
+    found = elements.where("type = 'file'").join(wanted, ["repo_name", "relative_path"], "left_semi")
+    return found.withColumn("total_score", F.lit(score)).withColumn("found_by", F.lit("agent"))
+
+
+def first_file_rows(elements: DataFrame, candidates: DataFrame, most: int = 10) -> DataFrame:
+    """The file elements of the first `most` candidates by path, where nothing was chosen among them."""
+    return file_rows(elements, candidates.select("repo_name", "relative_path").distinct().orderBy("relative_path", "repo_name").limit(most))
 
 
 def skim(elements: DataFrame, path: str) -> DataFrame:

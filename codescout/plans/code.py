@@ -269,6 +269,19 @@ def file_hashes(s, d):
     return _files(s, d).where("content is not null").select("path", F.md5("content").alias("md5")).distinct()
 
 
+def candidate_rows(s, d):
+    """The file elements of the first ten files with a match."""
+    e = _elements(s, d, "id", "type", "repo_name", "relative_path")
+    return se.first_file_rows(e, se.grep(_files(s, d), r"return [a-z_]+;", limit=None)).select("id", "total_score", "found_by")
+
+
+def repository_summaries(s, d):
+    """What the results of each repository are, elements by their length."""
+    e = _elements(s, d, "id", "type", "name", "repo_name", "relative_path", "start_line", "end_line").withColumn("score", F.col("end_line") - F.col("start_line"))
+    out = ro.results_summary(e, "repo_name")
+    return out.select("repo_name", "n", F.array_join("files", "|").alias("files"), F.array_join("elements", "|").alias("elements"))
+
+
 def shown_contents(s, d):
     """Contents as they are shown, up to 1,500 characters."""
     out = repo.read_contents(_files(s, d), 1500)
@@ -387,6 +400,8 @@ QUERIES = {
     ),
     "token_estimates": (token_estimates, "SELECT DISTINCT id, coalesce(ceil(length(code) / 4.0), 0)::INT AS tokens, md5(substring(code, 1, 400)) AS head_md5 FROM code_elements"),
     "file_hashes": (file_hashes, "SELECT DISTINCT path, md5(content) AS md5 FROM source_files WHERE content IS NOT NULL"),
+    "candidate_rows": (candidate_rows, f"WITH {_E}, g AS (SELECT DISTINCT repo_name, relative_path FROM source_files WHERE {_SEARCHABLE} AND regexp_matches(content, '(?i)return [a-z_]+;') ORDER BY relative_path, repo_name LIMIT 10) SELECT id, 0.8::DOUBLE AS total_score, 'agent' AS found_by FROM e JOIN g USING (repo_name, relative_path) WHERE type = 'file'"),
+    "repository_summaries": (repository_summaries, f"WITH {_E}, p AS (SELECT repo_name, relative_path, row_number() OVER (PARTITION BY repo_name ORDER BY relative_path) AS k FROM (SELECT DISTINCT repo_name, relative_path FROM e)), b AS (SELECT repo_name, concat_ws(' ', type, name) AS label, row_number() OVER (PARTITION BY repo_name ORDER BY end_line - start_line DESC, id) AS k FROM e), n AS (SELECT repo_name, count(*) AS n FROM e GROUP BY 1), f AS (SELECT repo_name, string_agg(relative_path, '|' ORDER BY k) AS files FROM p WHERE k <= 10 GROUP BY 1), l AS (SELECT repo_name, string_agg(label, '|' ORDER BY k) AS elements FROM b WHERE k <= 15 GROUP BY 1) SELECT * FROM n LEFT JOIN f USING (repo_name) LEFT JOIN l USING (repo_name)"),
     "shown_contents": (shown_contents, "SELECT DISTINCT path, md5(substring(content, 1, 1500)) AS content_md5, len(string_split(substring(content, 1, 1500), chr(10)))::INT AS total_lines, length(content) >= 1500 AS truncated FROM source_files WHERE content IS NOT NULL"),
     "url_names": (url_names, "SELECT repo_name, regexp_replace(regexp_extract(regexp_replace(repo_url, '/+$', ''), '[^/:]*$'), '\\.git$', '') AS url_name FROM repositories"),
     "element_url_names": (element_url_names, "SELECT repo_name, regexp_replace(regexp_extract(regexp_replace(repo_url, '/+$', ''), '[^/:]*$'), '\\.git$', '') AS url_name FROM (SELECT DISTINCT repo_name, repo_url FROM code_elements)"),

@@ -67,3 +67,17 @@ def test_dedent_property(spark, docs):
     got = [r[0] for r in spark.createDataFrame([(d,) for d in docs], "d string").coalesce(1).select(tx.dedent(F.col("d"))).collect()]
     want = ["\n".join(x.rstrip() for x in inspect.cleandoc(d).split("\n")).strip("\n") for d in docs]
     assert got == want
+
+
+def test_patterns_and_levels(spark):
+    from pyspark.sql import functions as F
+
+    from codescout.operators import parse, search
+
+    terms = {"a.b": False, r"a\.b": True, "f(x)": False, r"f\(": True, "": False}
+    got = spark.createDataFrame([(t,) for t in terms], "t string").select("t", search.is_pattern(F.col("t")).alias("p")).collect()
+    assert {r["t"]: r["p"] for r in got} == terms
+    files = spark.createDataFrame([("r", "/r/a.py", "a.py", "python", '"""Doc."""\nclass A:\n    def f(self):\n        return 1\n')], "repo_name string, path string, relative_path string, language string, content string")
+    parsed = parse.parse_files(files)
+    assert sorted(r["type"] for r in parse.build_elements(parsed).collect()) == ["class", "documentation", "file", "function"]
+    assert sorted(r["type"] for r in parse.build_elements(parsed, ["file", "function"]).collect()) == ["file", "function"]
