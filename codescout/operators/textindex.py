@@ -6,7 +6,7 @@ import zlib
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from codescout.functions.text import tokens
@@ -77,7 +77,9 @@ class TextIndex:
         if not terms:
             return self.read("postings").select("id", F.lit(0.0).alias("score")).where(F.lit(False))
         times = reduce(lambda c, t: c.when(F.col("term") == t, terms.count(t)), sorted(set(terms)), F.when(F.lit(False), 0))
-        stats = self.read("stats").first()  # one row
+        if self.path not in _STATS:
+            _STATS[self.path] = self.read("stats").first()  # one row
+        stats = _STATS[self.path]
         if stats is None or not stats["avgdl"]:
             return self._of("postings", terms).select("id", F.lit(0.0).alias("score")).where(F.lit(False))
         weights = {r["term"]: r["idf"] for r in self._of("terms", terms).select("term", "idf").collect()}  # the question's terms
@@ -87,6 +89,10 @@ class TextIndex:
         return self._of("postings", terms).groupBy("id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
+#: The statistics of the indexes that were asked, by path.
+_STATS: dict[str, Row | None] = {}
+
+
 def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(term), F.lit(buckets)).cast("int")
 
@@ -102,6 +108,7 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     term are dealt to several tasks and files.
     """
     spark = docs.sparkSession
+    _STATS.pop(path, None)
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col), mode).alias("words"))
     each = words.select("id", F.size("words").alias("len"), F.explode("words").alias("term"))
     postings = each.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len")).withColumn("bucket", _bucket(F.col("term"), buckets))
